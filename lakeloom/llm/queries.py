@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, tokens
+from lakeloom.llm import bpe, licenses, media, merkle, mixing, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -19,16 +19,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).documents.drop("source")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(documents(spark, sf_dir)).drop("changed_sections")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_documents(documents(spark, sf_dir), with_media=False).drop("keyframes")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("blocks")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_merkle, op4_byte_bpe, op7_media, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
