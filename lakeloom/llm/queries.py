@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, licenses, media, merkle, mixing, tokens
+from lakeloom.llm import bpe, langid, licenses, media, merkle, mixing, quality, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -43,8 +43,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_merkle, op4_byte_bpe, op7_media, op8_licenses)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_merkle, op4_byte_bpe, op7_media, op8_licenses, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
