@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, jaccard, langid, licenses, media, merkle, mixing, quality, tokens
+from lakeloom.llm import bpe, jaccard, langid, licenses, lm, media, merkle, mixing, quality, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(documents(spark, sf_dir), with_media=False).drop("keyframes")
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_merkle, op4_byte_bpe, op5_jaccard, op7_media, op8_licenses, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_merkle, op4_byte_bpe, op5_jaccard, op6_lm_scores, op7_media, op8_licenses, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
