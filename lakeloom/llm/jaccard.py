@@ -319,3 +319,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     answer = nodes.select("node", "low").join(of_node, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = measured.filter("n > 0").join(answer, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(measured.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, whole and with all their columns, of the smallest identifier of each component.
+
+    Of rows that repeat both identifier and text one stays. Rows without an identifier stay.
+    """
+    found = jaccard_components(docs, id_column, text_column)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.filter(F.col(id_column).isNotNull()).join(kept, F.col(id_column) == F.col("_kept"), "left_semi")
+    again = Window.partitionBy(id_column, F.xxhash64(text_column)).orderBy(id_column)
+    rows = rows.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
+    return rows.unionByName(docs.filter(F.col(id_column).isNull()))

@@ -147,41 +147,61 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return count > 0
 
 
+def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: int = 5) -> Model:
+    """The model of rows whose crc32(identifier as text) mod held_out is not 0 and whose text and language are not null; a null identifier teaches."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    known = rows.filter(F.coalesce(remainder(F.col("doc_id"), held_out) != 0, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    texts: dict[str, list[str]] = {}
+    for row in training_sample(known, TRAIN_ROWS, "doc_id", "lang").select("lang", "text").orderBy("lang", "doc_id", "text").collect():  # bounded by TRAIN_ROWS and MOST_LANGUAGES
+        texts.setdefault(row.lang, []).append(row.text)
+    return fit(texts)
+
+
+def batch_predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    data, offsets = flat.flat(texts)
+    names, scores = [], [np.zeros(0)]
+    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
+        some = flat.part(data, offsets, low, high)
+        letters = has_letter(*some)
+        if model.languages:
+            bits = model.lengths(*some)
+            names += [model.languages[b] if ok else "und" for b, ok in zip(bits.argmin(1), letters, strict=True)]
+            scores.append(np.where(letters, 1 / np.exp2(np.maximum(-1000, bits.min(1, keepdims=True) - bits)).sum(1), 0.0))
+        else:
+            names += ["und"] * (high - low)
+            scores.append(np.zeros(high - low))
+    return names, np.concatenate(scores)
+
+
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: int = 5) -> DataFrame:
     """Predicts the language of each row's whole text.
 
-    Learns from the text and language of rows whose crc32(identifier as text) mod held_out is not 0 and whose language is not null;
-    a prediction reads the text alone. Returns doc_id, held_out, lang_pred and score, the posterior of the predicted language under
-    equal priors. lang_pred is `und`, and score 0, where the text is null or has no letter, and for every row if nothing can be
-    learned. Of languages that code a text equally short, the first by name wins. A null identifier counts as learned from. Repeated
+    Learns from rows that aren't held out (see learned); a prediction reads the text alone. Returns doc_id, held_out, lang_pred and
+    score, the posterior of the predicted language under equal priors. lang_pred is `und`, and score 0, where the text is null or has no
+    letter, and for every row if nothing can be learned. Of languages that code a text equally short, the first by name wins. Repeated
     rows stay; other columns are dropped, so their names can't clash.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    held = F.coalesce(remainder(F.col("doc_id"), held_out) == 0, F.lit(False))
-    known = rows.filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    texts: dict[str, list[str]] = {}
-    for row in training_sample(known, TRAIN_ROWS, "doc_id", "lang").select("lang", "text").orderBy("lang", "doc_id", "text").collect():  # bounded by TRAIN_ROWS and MOST_LANGUAGES
-        texts.setdefault(row.lang, []).append(row.text)
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts))
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, id_column, text_column, lang_column, held_out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = batch_predictions(model.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    held = F.coalesce(remainder(F.col(id_column), held_out) == 0, F.lit(False))
+    rows = docs.select(F.col(id_column).alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows, whole and with all their columns, whose text has a language, told with a score of `least` or more."""
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, id_column, text_column, lang_column))
+    at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
         for batch in batches:
-            data, offsets = flat.flat(batch.column(2))
-            names, scores = [], []
-            for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
-                some = flat.part(data, offsets, low, high)
-                if own.languages:
-                    bits = own.lengths(*some)
-                    best = bits.argmin(1)
-                    score = 1 / np.exp2(np.minimum(0, bits.min(1, keepdims=True) - bits)).sum(1)
-                    letters = has_letter(*some)
-                    names += [own.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                    scores.append(np.where(letters, score, 0.0))
-                else:
-                    names += ["und"] * (high - low)
-                    scores.append(np.zeros(high - low))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], ["doc_id", "held_out", "lang_pred", "score"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+            names, scores = batch_predictions(model.value, batch.column(at))
+            yield batch.filter(pa.array(np.array([n != "und" for n in names], bool) & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
     blocks, parts = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / PART_BYTES))
-    bits = min(62, max(36, (size // 6 + 1).bit_length() + SPARE_BITS))
+    bits = min(62, max(40, (size // 6 + 1).bit_length() + SPARE_BITS))
     total, words = _vocabulary(rows, parts)
     texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     answers = _answered(_asked(texts, parts, order, bits))

@@ -108,6 +108,17 @@ def mix_sources(docs: DataFrame, most: int = 3, id_column: str = "doc_id", sourc
     return Mix(taken.unionByName(none), schedule.select("slot", "source", "epoch", "block"), sources)
 
 
+def repeat_documents(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+    """The mix in whole documents: each row as often as the mix takes its words, rounded half up; with all its columns.
+
+    Rows of one identifier share what is taken of them all. A row without words is taken by no mix, so it goes.
+    """
+    mixed = mix_sources(docs, id_column=id_column, source_column=source_column, text_column=text_column).documents
+    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_times"))
+    rows = docs.join(times.filter("_times > 0"), F.col(id_column).eqNullSafe(F.col("_id")))
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def _schedule(owed: DataFrame) -> DataFrame:
     """(slot, s, rank): golden-ratio points mapped through the cumulative slots, ranked within each source."""
     spark = owed.sparkSession

@@ -151,36 +151,56 @@ def _gradients(model: Model, x: np.ndarray, firsts: np.ndarray, labels: np.ndarr
     return {"encode": s["x"].T @ to_code, "encode0": to_code.sum(0), "value": s["code"].T @ to_value, "gate": s["code"].T @ to_gate, "attend": gated.T @ to_logit, "score": s["bag"].T @ error, "score0": error.sum(keepdims=True)}
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", held_out: int = 5) -> DataFrame:
-    """Scores each row's whole text for quality.
+def learned(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", held_out: int = 5) -> Model | None:
+    """The model of labelled rows whose crc32(identifier as text) mod held_out is not 0; None without labels of both kinds.
 
-    Learns from labelled rows whose crc32(identifier as text) mod held_out is not 0; a score reads the text alone. Returns doc_id,
-    held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if the score is at least THRESHOLD). A null text counts as
-    empty, which has one passage without words and a score as any other. Labels that are null or given twice with both values don't
-    teach. Without labels of both kinds every score is 0.5. Repeated rows and null identifiers stay; other columns are dropped, so
-    their names can't clash.
+    Labels that are null, or given for one identifier with both values, don't teach.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.filter(remainder(F.col("doc_id"), held_out) != 0).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).filter("label = top").drop("top")
     sample = F.broadcast(training_sample(known, TRAIN_ROWS, "doc_id", "label"))  # about TRAIN_ROWS rows a label
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     taught = rows.join(sample, "doc_id").select("doc_id", "label", "text").orderBy("doc_id", "text").collect()
-    model = None
-    if len({r.label for r in taught}) == 2:
-        model = fit(*passages(*flat.flat(pa.array([r.text for r in taught], pa.string()))), np.array([r.label for r in taught], np.float32))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    if len({r.label for r in taught}) < 2:
+        return None
+    return fit(*passages(*flat.flat(pa.array([r.text for r in taught], pa.string()))), np.array([r.label for r in taught], np.float32))
+
+
+def batch_scores(model: Model | None, texts: pa.Array) -> np.ndarray:
+    data, offsets = flat.flat(texts)
+    scores = [np.zeros(0)]
+    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
+        scores.append(model.scores(*passages(*flat.part(data, offsets, low, high))) if model else np.full(high - low, 0.5))
+    return np.concatenate(scores)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", held_out: int = 5) -> DataFrame:
+    """Scores each row's whole text for quality.
+
+    Learns from labelled rows (see learned); a score reads the text alone. Returns doc_id, held_out, score (0 to 1, higher: label 1
+    likelier) and predicted (1 if the score is at least THRESHOLD). A null text counts as empty, which has one passage without words and
+    a score as any other. Without labels of both kinds every score is 0.5. Repeated rows and null identifiers stay; other columns are
+    dropped, so their names can't clash.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_column, text_column, label_column, held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
         for batch in batches:
-            data, offsets = flat.flat(batch.column(2))
-            scores = [np.zeros(0)]
-            for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
-                some = flat.part(data, offsets, low, high)
-                scores.append(own.scores(*passages(*some)) if own else np.full(high - low, 0.5))
-            score = np.concatenate(scores)
+            score = batch_scores(model.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    held = F.coalesce(remainder(F.col("doc_id"), held_out) == 0, F.lit(False))
-    return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    held = F.coalesce(remainder(F.col(id_column), held_out) == 0, F.lit(False))
+    rows = docs.select(F.col(id_column).alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
+    """The rows, whole and with all their columns, whose score is at least THRESHOLD."""
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_column, text_column, label_column))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(batch_scores(model.value, batch.column(at)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
