@@ -38,6 +38,9 @@ PLACE_BITS = 14
 BLOCK_SHINGLES = 600_000
 BLOCK_NODES = 2_000
 PART_SHINGLES = 1_500_000
+HUB_TURNS = 3
+HUBS = 2
+LINKED = f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)"
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
@@ -186,12 +189,12 @@ def _met(sent: DataFrame) -> DataFrame:
 
 
 def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes that share enough shingles to link with anything: owner, node, n, shared (packed values), prefix (packed values), leader, common.
+    """Nodes that share enough shingles to link with anything: owner, node, n, alone, shared (packed values), prefix (values in the order of frequency), leader, common.
 
-    common counts the shingles whose list the leader heads: at least so many are in both sets. leader is null where they are too few.
+    alone counts the shingles that no other node has. common counts the shingles whose list the leader heads: at least so many are in both sets. leader is null where they are too few.
     """
-    schema = "owner long, node long, n long, shared binary, prefix binary, leader long, common long"
-    kinds = {"owner": pa.int64(), "node": pa.int64(), "n": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(), "leader": pa.int64(), "common": pa.int64()}
+    schema = "owner long, node long, n long, alone long, shared binary, prefix binary, leader long, common long"
+    kinds = {"owner": pa.int64(), "node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(), "leader": pa.int64(), "common": pa.int64()}
 
     def run(lists: pa.Table, own: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in kinds}
@@ -214,7 +217,7 @@ def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
                 counts = np.where(heads == owner, 0, counts)
                 best = int(counts.argmax())
                 enough = counts[best] >= need[k]
-                row = (owner, node[k], n[k], pack(np.sort(value[mine])), pack(np.sort(value[ranked[: len(mine) - need[k] + 1]])), int(heads[best]) if enough else None, int(counts[best]) if enough else None)
+                row = (owner, node[k], n[k], n[k] - len(mine), pack(np.sort(value[mine])), value[ranked[: len(mine) - need[k] + 1]].astype("<i8").tobytes(), int(heads[best]) if enough else None, int(counts[best]) if enough else None)
                 for name, x in zip(out, row, strict=True):
                     out[name].append(x)
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
@@ -236,17 +239,48 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    """(value, owner, n, root, apart) for each shingle of the prefixes."""
+    """(value, rest, owner, n, alone, root, apart) for each shingle of the prefixes; rest counts it and what stands after it in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                values = [unpack(x) for x in some.column(0).to_pylist()]
-                times = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), *(some.column(k).take(times) for k in range(1, 5))], ["value", "owner", "n", "root", "apart"])
+                values = [np.frombuffer(x, "<i8") for x in some.column(0).to_pylist()]
+                sizes = np.array([len(v) for v in values])
+                times = np.repeat(np.arange(len(values)), sizes)
+                within = np.arange(len(times)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                shared = (some.column(2).to_numpy() - some.column(3).to_numpy())[times]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(shared - within), *(c.take(pa.array(times)) for c in some.columns[1:])], ["value", "rest", *some.schema.names[1:]])
 
-    return df.select("prefix", "owner", "n", "root", "apart").mapInArrow(run, "value long, owner long, n long, root long, apart long")
+    return df.select("prefix", "owner", "n", "alone", "root", "apart").mapInArrow(run, "value long, rest long, owner long, n long, alone long, root long, apart long")
+
+
+def _may_link(n: str, rest: str, other_n: str, other_rest: str) -> str:
+    """Length and positional filter: a pair whose first common shingle this is has an overlap of at most the lesser rest."""
+    return f"{100 + PERCENT} * least({rest}, {other_rest}) >= {PERCENT} * ({n} + {other_n})"
+
+
+def _mixed(entries: DataFrame, component_of: DataFrame) -> DataFrame:
+    """Entries, with the component of their root, of the lists in which components meet."""
+    known = entries.join(component_of, entries["root"] == component_of["id"], "left").select(*entries.columns, F.coalesce("component", "root").alias("component"))
+    known = saved(known, "shingle-known")
+    several = known.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("value")
+    return saved(known.join(several, "value"), "shingle-mixed")
+
+
+def _met_by_hubs(mixed: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Links (a, b) between components: each list's entries are compared with one hub of it, an entry with HUBS hubs at most.
+
+    First the hub is the set with the smallest share of shingles of its own, as an original among its copies has; later any. What these
+    comparisons don't link is left to the comparison of whole lists.
+    """
+    rank = F.col("alone") / F.col("n") if turn == 0 else F.xxhash64("owner", F.lit(turn)).cast("double")
+    hubs = mixed.groupBy("value").agg(F.min(F.struct(rank.alias("rank"), F.col("owner"), F.col("component"), F.col("n"), F.col("rest"))).alias("hub"))
+    near = mixed.join(hubs, "value").filter("component <> hub.component and " + _may_link("n", "rest", "hub.n", "hub.rest"))
+    pairs = near.groupBy(F.col("owner").alias("a"), F.col("hub.owner").alias("b"), F.col("component").alias("in_a"), F.col("hub.component").alias("in_b")).count()
+    best = Window.partitionBy("a").orderBy(F.col("count").desc(), "b")
+    pairs = pairs.withColumn("place", F.row_number().over(best)).filter(f"place <= {HUBS}").select("a", "b", "in_a", "in_b")
+    return _compared(pairs, found).filter(LINKED).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
 
 
 def _compared(pairs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -285,32 +319,42 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     found = saved(_candidates(_met(_sent(rows.filter("doc_id is not null"), nodes, blocks, parts, bits, shingle)), nodes), "shingle-candidates")
     groups = _groups(found.select("owner", "n", "leader", "common"))
 
-    # Groups that meet in a prefix list.
+    # Groups that meet in a prefix list: most link by a hub of the list, so that a large group of near copies is one at once.
     entries = saved(_exploded(found.join(groups, "owner")), "shingle-entries")
-    several = entries.groupBy("value").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("value")
-    mixed = saved(entries.join(several, "value"), "shingle-mixed")
-    lists = mixed.groupBy("value", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = lists.select("value", F.col("root").alias("b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    meets = lists.withColumnRenamed("root", "a").join(other, "value").filter(f"a < b and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
-    spread = mixed.groupBy("root").agg(F.max("apart").alias("apart"), F.max("n").alias("most"))
+    edges = entries.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
+    joined = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    for turn in range(HUB_TURNS):
+        met = saved(_met_by_hubs(_mixed(entries, joined), found, turn), "shingle-links")
+        if not met.limit(1).count():
+            break
+        edges = edges.union(met).union(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        joined = saved(connected(edges), "shingle-joined")
+
+    # What is left of the lists is compared whole: the roots of groups first.
+    mixed = _mixed(entries, joined)
+    lists = mixed.groupBy("value", "root", "component").agg(F.min("n").alias("least"), F.max("rest").alias("rest"))
+    other = lists.select("value", F.col("root").alias("b"), F.col("component").alias("in_b"), F.col("least").alias("least_b"), F.col("rest").alias("rest_b"))
+    meets = lists.withColumnRenamed("root", "a").withColumnRenamed("component", "in_a").join(other, "value")
+    meets = meets.filter("in_a < in_b and " + _may_link("least", "rest", "least_b", "rest_b"))
     roots = saved(_compared(meets.select("a", "b").distinct(), found), "shingle-roots")
-    linked = f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)"
-    by_root = saved(connected(roots.filter(linked).select("a", "b")), "shingle-joined")
+    edges = edges.union(roots.filter(LINKED).select("a", "b"))
+    joined = saved(connected(edges), "shingle-joined")
 
     # Groups whose roots don't link, and whose members are too spread for that to settle them.
-    apart = roots.filter(f"not {linked}").withColumn("gap", F.expr("n_a + n_b - 2 * overlap"))
+    spread = mixed.groupBy("root").agg(F.max("apart").alias("apart"), F.max("n").alias("most"))
+    apart = roots.filter(f"not {LINKED}").withColumn("gap", F.expr("n_a + n_b - 2 * overlap"))
     for side in ("a", "b"):
         apart = apart.join(spread.select(F.col("root").alias(side), F.col("apart").alias(f"apart_{side}"), F.col("most").alias(f"most_{side}")), side)
-        apart = apart.join(by_root.select(F.col("id").alias(side), F.col("component").alias(f"in_{side}")), side, "left")
+        apart = apart.join(joined.select(F.col("id").alias(side), F.col("component").alias(f"in_{side}")), side, "left")
     # A link means: difference <= (1 - t) / (1 + t) of the sizes' sum.
     near = f"{100 + PERCENT} * (gap - apart_a - apart_b) <= {100 - PERCENT} * (most_a + most_b)"
     open_ = apart.filter(f"{near} and coalesce(in_a, a) <> coalesce(in_b, b)").select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "gap")
-    one = mixed.select("value", F.col("owner").alias("a"), F.col("n").alias("size_a"), F.col("root").alias("root_a"), F.col("apart").alias("apart_a"))
-    two = mixed.select("value", F.col("owner").alias("b"), F.col("n").alias("size_b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b"))
-    reach = f"{100 + PERCENT} * (gap - apart_a - apart_b) <= {100 - PERCENT} * (size_a + size_b) and 100 * size_a >= {PERCENT} * size_b and 100 * size_b >= {PERCENT} * size_a"
+    one = mixed.select("value", F.col("owner").alias("a"), F.col("n").alias("size_a"), F.col("rest").alias("rest_a"), F.col("root").alias("root_a"), F.col("apart").alias("apart_a"))
+    two = mixed.select("value", F.col("owner").alias("b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b"))
+    reach = f"{100 + PERCENT} * (gap - apart_a - apart_b) <= {100 - PERCENT} * (size_a + size_b) and " + _may_link("size_a", "rest_a", "size_b", "rest_b")
     members = one.join(open_, "root_a").join(two, ["value", "root_b"]).filter(reach).select("a", "b", "root_a", "root_b").distinct()
-    more = _compared(members, found.select("owner", "n", "shared")).filter(linked).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    joined = connected(roots.filter(linked).select("a", "b").union(more))
+    more = _compared(members, found).filter(LINKED).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    joined = connected(edges.union(more))
 
     of_root = groups.join(joined, groups["root"] == joined["id"], "left").select("owner", F.coalesce("component", "root").alias("component"))
     of_node = found.select("owner", "node").join(of_root, "owner").join(nodes.select("node", "low"), "node").select("node", "component", "low")
