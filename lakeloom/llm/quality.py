@@ -163,7 +163,10 @@ def learned(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     taught = rows.join(sample, "doc_id").select("doc_id", "label", "text").orderBy("doc_id", "text").collect()
     if len({r.label for r in taught}) < 2:
         return None
-    return fit(*passages(*flat.flat(pa.array([r.text for r in taught], pa.string()))), np.array([r.label for r in taught], np.float32))
+    data, offsets = flat.flat(pa.array([r.text for r in taught], pa.string()))
+    parts = [passages(*flat.part(data, offsets, low, high)) for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 4)]
+    bags = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(firsts) for _, firsts in parts]))])
+    return fit(np.concatenate([x for x, _ in parts]), bags, np.array([r.label for r in taught], np.float32))
 
 
 def batch_scores(model: Model | None, texts: pa.Array) -> np.ndarray:
