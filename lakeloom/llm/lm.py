@@ -26,9 +26,9 @@ from lakeloom.llm.trie import Trie
 
 ORDER = 3
 STRENGTH = 60.0
-SPARE_BITS = 13
+SPARE_BITS = 12
 WORD_BITS = 56
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -71,11 +71,14 @@ def keys_of(own: np.ndarray, places: np.ndarray, order: int, bits: int) -> list[
 
 
 def _counts(values: np.ndarray) -> bytes:
-    return b"\1" + values.astype(np.uint8).tobytes() if not len(values) or values.max() < 256 else b"\4" + values.astype("<u4").tobytes()
+    """A byte a count; those from 255 on follow in four bytes each."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<u4").tobytes()
 
 
-def _counts_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if data[0] == 1 else "<u4", -1, 1)
+def _counts_of(data: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u4", -1, size)
+    return out
 
 
 def _edges(parts: int, bits: int) -> np.ndarray:
@@ -119,7 +122,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         for n in np.unique(orders):
             rows = np.flatnonzero(orders == n)
             keys = [unpack(table.column("keys")[int(k)].as_py()) for k in rows]
-            counts = np.concatenate([_counts_of(table.column("counts")[int(k)].as_py()).astype(np.int64) for k in rows])
+            counts = np.concatenate([_counts_of(table.column("counts")[int(k)].as_py(), len(own)) for k, own in zip(rows, keys, strict=True)])
             ends = np.cumsum([len(k) for k in keys])
             keys = np.concatenate(keys)
             order = np.argsort(keys, kind="stable")
@@ -243,12 +246,14 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         own, places = tokens(*flat.flat(table.column("text")))
         pieces = answer.sort_by([("n", "ascending"), ("part", "ascending")])
-        orders, counts = pieces.column("n").to_numpy(), []
+        orders, asked_of, counts = pieces.column("n").to_numpy(), pieces.column("part").to_numpy(), []
         for n, keys in enumerate(keys_of(own, places, order, bits), 1):
-            sums = np.concatenate([_counts_of(pieces.column("counts")[int(k)].as_py()) for k in np.flatnonzero(orders == n)])
             distinct, inverse = np.unique(keys, return_inverse=True)
+            ends = np.append(np.searchsorted(distinct, _edges(parts, WORD_BITS if n == 1 else bits)), len(distinct))
+            sizes = np.diff(ends, prepend=0)
+            sums = np.concatenate([_counts_of(pieces.column("counts")[int(k)].as_py(), int(sizes[asked_of[k]])) for k in np.flatnonzero(orders == n)])
             assert len(distinct) == len(sums), "the block's texts are not those that asked"
-            counts.append(sums.astype(np.int64)[inverse])
+            counts.append(sums[inverse])
         trie, ids, before = block_trie(own, places, counts, total, words, strength)
         score = trie.scores(ids, before, -math.log10(total + words + 1))
         base = np.log10((counts[0] + 1) / (total + words + 1))
