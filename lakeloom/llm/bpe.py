@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, pretokens
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 class Codec:
@@ -63,7 +63,7 @@ class Codec:
         """Whether merging the two tokens' bytes leaves these two tokens; remembered for each pair."""
         known = self.fits_memo.get((left, right))
         if known is None:
-            if len(self.fits_memo) > 4 * MEMO_ENTRIES:
+            if len(self.fits_memo) > MEMO_ENTRIES:
                 self.fits_memo.clear()
             known = self.fits_memo[left, right] = self._fits(left, right)
         return known
