@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm import flat
 from lakeloom.llm.components import connected
 from lakeloom.llm.packed import pack, unpack
-from lakeloom.llm.shared import saved
+from lakeloom.llm.shared import saved, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -370,9 +370,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Of rows that repeat both identifier and text one stays. Rows without an identifier stay.
     """
+    kept, again = unused(docs, "_kept"), unused(docs, "_again")
     found = jaccard_components(docs, id_column, text_column)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.filter(F.col(id_column).isNotNull()).join(kept, F.col(id_column) == F.col("_kept"), "left_semi")
-    again = Window.partitionBy(id_column, F.xxhash64(text_column)).orderBy(id_column)
-    rows = rows.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
+    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    rows = docs.filter(F.col(id_column).isNotNull()).join(firsts, F.col(id_column) == F.col(kept), "left_semi")
+    order = Window.partitionBy(id_column, F.xxhash64(text_column)).orderBy(id_column)
+    rows = rows.withColumn(again, F.row_number().over(order)).filter(F.col(again) == 1).drop(again)
     return rows.unionByName(docs.filter(F.col(id_column).isNull()))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.shared import saved
+from lakeloom.llm.shared import saved, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -113,10 +113,11 @@ def repeat_documents(docs: DataFrame, id_column: str = "doc_id", source_column:
 
     Rows of one identifier share what is taken of them all. A row without words is taken by no mix, so it goes.
     """
+    key, times, time = unused(docs, "_id"), unused(docs, "_times"), unused(docs, "_time")
     mixed = mix_sources(docs, id_column=id_column, source_column=source_column, text_column=text_column).documents
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("_times"))
-    rows = docs.join(times.filter("_times > 0"), F.col(id_column).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias(times))
+    rows = docs.join(taken.filter(F.col(times) > 0), F.col(id_column).eqNullSafe(F.col(key)))
+    return rows.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def _schedule(owed: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ class Trie:
         """log10 probability of each word after its history, histories[0] being the word before; ids are -1 where unknown."""
         known = words >= 0
         out = np.where(known, value_of(self.chances[0], np.maximum(words, 0)), unknown)
-        context = histories[0]
+        context = histories[0] if histories else None
         for order in range(2, len(self.chances) + 1):
             # The entry of this order's history, and of the history with the word.
             if order > 2:

@@ -1,0 +1,104 @@
+"""Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
+
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from lakeloom.llm import bpe, jaccard, langid, licenses, lm, media, merkle, mixing, quality, tokens
+
+LONG = " ".join(f"w{k * 7919 % 40009}" for k in range(120_000))
+ROWS = [
+    (None, None, None, None, None),
+    (None, "no identifier here at all", "en", "a", 5),
+    (1, "", "en", "a", 0),
+    (2, "the same row twice and more words", "en", "b", 3),
+    (2, "the same row twice and more words", "en", "b", 3),
+    (3, None, "fr", None, None),
+    (4, LONG, None, "b", 1),
+    (5, LONG, "en", "b", 1),
+    (6, " \n\t\n  ", "en", None, 1),
+    (7, "日本語 текст 'll ½ \U0001f600", "xx", "c", 1),
+    (8, "!!! ... 123", "en", "c", 1),
+    (9, "word", "en", "a", 1),
+]
+CLASHES = "score, n, block, node, held_out, n_tokens, fingerprint, _id, _times, _time, _kept, _again, label, size, digest, s, range, guest, words, held, SCORE2".split(", ")
+LABELS = [(2, 1, 0), (4, 0, None), (5, None, 1), (None, 1, 1), (9, 1, 0), (9, 0, 0)]
+
+
+def table(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        docs = docs.selectExpr("*", f"'x' AS `{name}`")
+    return docs
+
+
+def labels(spark, rows=LABELS):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "mixing": lambda s, d: mixing.mix_sources(d).documents,
+    "tokens": lambda s, d: tokens.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "merkle": lambda s, d: merkle.edited_fingerprints(d),
+    "fingerprints": lambda s, d: merkle.fingerprints(d),
+    "bpe": lambda s, d: bpe.encode_documents(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+    "jaccard": lambda s, d: jaccard.jaccard_components(d),
+    "lm": lambda s, d: lm.score_documents(d),
+    "media": lambda s, d: media.store_documents(d),
+    "licenses": lambda s, d: licenses.scan(d),
+    "langid": lambda s, d: langid.identify(d),
+    "quality": lambda s, d: quality.score_quality(d, labels(s)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_row_is_lost_or_made(spark, name):
+    found = OPERATORS[name](spark, table(spark, ROWS)).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted((r.doc_id for r in found), key=key) == sorted((r[0] for r in ROWS), key=key)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables(spark, name):
+    assert OPERATORS[name](spark, table(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_only_nulls(spark, name):
+    assert len(OPERATORS[name](spark, table(spark, [(None, None, None, None, None)] * 3)).collect()) == 3
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+@pytest.mark.parametrize("rows", [ROWS, [], [(None, None, None, None, None)]], ids=["odd", "empty", "nulls"])
+def test_stages(spark, tmp_path, at, rows):
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, rows)
+    out = corpus_pipeline.STAGES[at][1](spark, docs, str(tmp_path))
+    found = out.collect()
+    if at < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r.text) for r in found} <= {(r[0], r[1]) for r in rows}
+
+
+def by_id(found):
+    return {r.doc_id: r for r in found}
+
+
+def test_values_of_odd_rows(spark):
+    docs = table(spark, ROWS)
+    t = by_id(OPERATORS["tokens"](spark, docs).collect())
+    assert (t[1].n_tokens, t[3].n_tokens, t[3].n_bytes, t[3].over_limit, t[4].over_limit) == (0, 0, 0, False, True)
+    j = by_id(OPERATORS["jaccard"](spark, docs).collect())
+    assert (j[1].n_shingles, j[3].component_id, j[6].n_shingles, j[5].component_id, j[9].n_shingles) == (0, 3, 0, 4, 1)
+    lang = by_id(OPERATORS["langid"](spark, docs).collect())
+    assert [lang[k].lang_pred for k in (1, 3, 6, 8)] == ["und"] * 4 and lang[7].lang_pred != "und"
+    m = by_id(OPERATORS["media"](spark, docs).collect())
+    assert m[1].payload_bytes == m[3].payload_bytes == 64 and m[4].payload_sha256 == m[5].payload_sha256 and m[4].feature == m[5].feature
+    lic = by_id(OPERATORS["licenses"](spark, docs).collect())
+    assert (lic[3].n_words, lic[3].n_base, lic[3].first_word, lic[3].labels, lic[3].score) == (0, 0, None, "", 0.0)
+    n = by_id(OPERATORS["lm"](spark, docs).collect())
+    assert n[1].n_tokens == n[3].n_tokens == 1 and n[4].n_tokens == 120_001
+    f = by_id(OPERATORS["merkle"](spark, docs).collect())
+    assert f[1].fingerprint == f[3].fingerprint and f[4].fingerprint == f[5].fingerprint and f[5].near_next == 1.0
+    mixed = OPERATORS["mixing"](spark, docs).collect()
+    assert all(0 <= r.taken <= 3 * r.size for r in mixed)
