@@ -30,6 +30,7 @@ SPARE_BITS = 12
 WORD_BITS = 56
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
+MOST_WORDS = 1 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -141,14 +142,22 @@ def _answered(asked: DataFrame) -> DataFrame:
 def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
     """Training tokens, and distinct ones, over the corpus."""
 
+    def packed(keys: np.ndarray, total: int) -> pa.RecordBatch:
+        pieces = np.split(keys, np.searchsorted(keys, _edges(parts, WORD_BITS)))
+        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total] + [0] * (parts - 1), pa.int64()), pa.array([pack(p) for p in pieces], pa.binary())], ["part", "tokens", "keys"])
+
     def send(batches):
+        known, total = np.zeros(0, np.uint64), 0
         for batch in batches:
             data, offsets = flat.flat(batch.column(0))
             for low, high in flat.chunks(offsets):
-                own, places = tokens(*flat.part(data, offsets, low, high))
-                keys = np.unique(own >> np.uint64(64 - WORD_BITS))
-                pieces = np.split(keys, np.searchsorted(keys, _edges(parts, WORD_BITS)))
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([len(own)] + [0] * (parts - 1), pa.int64()), pa.array([pack(p) for p in pieces], pa.binary())], ["part", "tokens", "keys"])
+                own, _ = tokens(*flat.part(data, offsets, low, high))
+                known, total = np.union1d(known, own >> np.uint64(64 - WORD_BITS)), total + len(own)
+                if len(known) > MOST_WORDS:  # what a task holds stays bounded
+                    yield packed(known, total)
+                    known, total = np.zeros(0, np.uint64), 0
+        if total:
+            yield packed(known, total)
 
     def count(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(k) for k in table.column("keys").to_pylist()])
