@@ -144,7 +144,8 @@ def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
 
     def packed(keys: np.ndarray, total: int) -> pa.RecordBatch:
         pieces = np.split(keys, np.searchsorted(keys, _edges(parts, WORD_BITS)))
-        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total] + [0] * (parts - 1), pa.int64()), pa.array([pack(p) for p in pieces], pa.binary())], ["part", "tokens", "keys"])
+        some = [p for p in range(parts) if len(pieces[p])]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total] + [0] * (len(some) - 1), pa.int64()), pa.array([pack(pieces[p]) for p in some], pa.binary())], ["part", "tokens", "keys"])
 
     def send(batches):
         known, total = np.zeros(0, np.uint64), 0
