@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 512
 MOST_RANGES = 1 << 16
 DIGEST_CHARS = 32
-PARAGRAPH = r"(?<=[.!?])\s+"
+PARAGRAPH = r"\s(?<=[.!?]\s)\s*"  # blanks after . ! or ?; looks back only from a blank
 
 
 def digest(text: Column) -> Column:
@@ -38,17 +38,21 @@ def root(tree: Column) -> Column:
     return F.sha2(F.concat(F.lit("r"), F.array_join(sections(tree), "")).cast("binary"), 256)
 
 
-def numbered(tree: Column) -> Column:
-    """array<string>: the leaves in their order, a repeat marked with how many stood before it, so that a set keeps its repeats."""
-    flat = F.array_sort(F.flatten(tree))
+def in_order(tree: Column) -> Column:
+    """array<string>: all leaves, sorted."""
+    return F.sort_array(F.flatten(tree))
+
+
+def numbered(leaves_: Column) -> Column:
+    """Sorted leaves, a repeat marked with how many stood before it, so that a set keeps its repeats."""
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, leaf: Column) -> Column:
         n = F.when(state["last"] == leaf, state["n"] + 1).otherwise(F.lit(0))
         return F.struct(leaf.alias("last"), n.alias("n"), F.concat(state["out"], F.array(F.concat(leaf, F.when(n > 0, n.cast("string")).otherwise(F.lit(""))))).alias("out"))
 
-    repeats = F.size(F.array_distinct(flat)) < F.size(flat)
-    return F.when(repeats, F.aggregate(flat, start, step, lambda s: s["out"])).otherwise(flat)
+    repeats = F.size(F.array_distinct(leaves_)) < F.size(leaves_)
+    return F.when(repeats, F.aggregate(leaves_, start, step, lambda s: s["out"])).otherwise(leaves_)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -103,7 +107,8 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     trees = pairs.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), leaves(F.col("text")).alias("tree"), leaves(edited).alias("edited_tree"), leaves(F.col("next_text")).alias("next_tree"))
-    sets = trees.select("*", numbered(F.col("tree")).alias("own"), numbered(F.col("edited_tree")).alias("edited"), numbered(F.col("next_tree")).alias("next"))
+    sets = trees.select("*", in_order(F.col("tree")).alias("own"), in_order(F.col("edited_tree")).alias("edited"), in_order(F.col("next_tree")).alias("next"))
+    sets = sets.withColumns({c: numbered(F.col(c)) for c in ("own", "edited", "next")})
     return sets.select(
         "doc_id",
         "n_chars",
