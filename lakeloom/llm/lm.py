@@ -90,11 +90,32 @@ def _held(table: pa.Table) -> np.ndarray:
     return table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """The rows with their texts as Zstandard frames, of which the shuffle moves less than of text."""
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            data, offsets = flat.flat(batch.column("text"))
+            frames = [codec.compress(data[a:b], asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "held_out", "block", "size", "frame"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "held_out", "block", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, block int, size long, frame binary")
+
+
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The flat view of squeezed texts."""
+    codec, sizes = pa.Codec("zstd"), table.column("size").to_numpy()
+    parts = [codec.decompress(frame, size, asbytes=True) if size else b"" for frame, size in zip(table.column("frame").to_pylist(), sizes.tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _asked(texts: DataFrame, parts: int, order: int, bits: int) -> DataFrame:
     """(block, part, n, keys, counts): each block's distinct n-grams and their training counts."""
 
     def run(docs: pa.Table) -> pa.Table:
-        own, places = tokens(*flat.flat(docs.column("text")))
+        own, places = tokens(*_texts(docs))
         held = np.repeat(_held(docs), np.diff(places)).astype(np.uint64)
         out: dict[str, list] = {"part": [], "n": [], "keys": [], "counts": []}
         for n, keys in enumerate(keys_of(own, places, order, bits), 1):
@@ -249,12 +270,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     blocks, parts = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / PART_BYTES))
     bits = min(62, max(40, (size // 6 + 1).bit_length() + SPARE_BITS))
     total, words = _vocabulary(rows, parts)
-    texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    texts = _squeezed(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")))
     answers = _answered(_asked(texts, parts, order, bits))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
-        own, places = tokens(*flat.flat(table.column("text")))
+        own, places = tokens(*_texts(table))
         pieces = answer.sort_by([("n", "ascending"), ("part", "ascending")])
         orders, asked_of, counts = pieces.column("n").to_numpy(), pieces.column("part").to_numpy(), []
         for n, keys in enumerate(keys_of(own, places, order, bits), 1):
