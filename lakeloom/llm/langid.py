@@ -33,13 +33,28 @@ _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 
 
+@dataclass
+class Statistics:
+    """Frozen counts, from which the tables are made again wherever they are needed."""
+
+    languages: list[str]
+    symbol: np.ndarray  # of each byte
+    shared: int  # bytes of the last symbol
+    kept: np.ndarray  # rows: order and symbols of each kept context
+    counts: list[tuple[np.ndarray, np.ndarray]]  # of each language: places with counts, and the counts
+
+
 @dataclass
 class Model:
+    statistics: Statistics
     languages: list[str]
     symbol: np.ndarray  # of each byte
     node: np.ndarray  # the longest kept context for the last three symbols
     bits: np.ndarray  # (node * SYMBOLS + symbol, language)
 
+    def __reduce__(self):
+        return tables, (self.statistics,)  # what is sent is a tenth of the tables
+
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row's whole text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
@@ -73,46 +88,68 @@ def fit(texts: dict[str, list[str]]) -> Model:
     symbol = np.full(256, SYMBOLS - 1, np.uint8)
     frequent = [b for b in np.lexsort((np.arange(256), -seen)) if seen[b]][: SYMBOLS - 2]
     symbol[frequent] = np.arange(1, len(frequent) + 1)
-    shared = max(1, 256 - len(frequent))
-    walked = {lang: contexts(symbol, *joined[lang]) for lang in languages}
+    walked = {}
+    for lang in languages:
+        symbols, keys = contexts(symbol, *joined.pop(lang))
+        walked[lang] = symbols.astype(np.uint8), keys
 
     # Kept contexts, most frequent first; a context's suffix is at least as frequent, so it is kept before it.
     found = []
     for order in range(1, ORDER + 1):
-        keys, counts = np.unique(np.concatenate([k & ((1 << 7 * order) - 1) for _, k in walked.values()] or [np.zeros(0, np.int32)]), return_counts=True)
-        often = counts >= LEAST_COUNT
-        found.append(np.stack([counts[often], np.full(often.sum(), order), keys[often]]))
+        counts = np.zeros(1 << 7 * order, np.int64)
+        for _, keys in walked.values():
+            counts += np.bincount(keys & ((1 << 7 * order) - 1), minlength=len(counts))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
+        found.append(np.stack([counts[often], np.full(len(often), order), often]))
     found = np.concatenate(found, axis=1)
     most = min(MOST_NODES, MOST_CELLS // (SYMBOLS * max(1, len(languages))))
-    found = found[:, np.lexsort((found[2], found[1], -found[0]))][:, : most - 1]
-    levels = [np.zeros(1, np.int32)]  # for each order: the longest kept context of at most that order
-    own = [np.zeros(1, np.int32)]
+    kept = found[1:, np.lexsort((found[2], found[1], -found[0]))][:, : most - 1].astype(np.int32)
+    own, _ = _levels(kept)
+    counted = []
+    for lang in languages:
+        symbols, keys = walked[lang]
+        counts = np.zeros((kept.shape[1] + 1) * SYMBOLS, np.int64)
+        for order in range(ORDER + 1):
+            at = own[order][keys & ((1 << 7 * order) - 1)]
+            there = at >= 0
+            counts += np.bincount(at[there].astype(np.int64) * SYMBOLS + symbols[there], minlength=len(counts))
+        places = np.flatnonzero(counts)
+        counted.append((places.astype(np.int32), counts[places].astype(np.int32)))
+    return tables(Statistics(languages, symbol, max(1, 256 - len(frequent)), kept, counted))
+
+
+def _levels(kept: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By order and symbols: the kept context of just that order, or -1, and the longest kept one of at most that order. Context 0 is the empty one."""
+    own, longest = [np.zeros(1, np.int32)], [np.zeros(1, np.int32)]
     for order in range(1, ORDER + 1):
-        picked = np.flatnonzero(found[1] == order)
+        picked = np.flatnonzero(kept[0] == order)
         mine = np.full(1 << 7 * order, -1, np.int32)
-        mine[found[2][picked]] = picked + 1
-        shorter = levels[-1][np.arange(1 << 7 * order) & ((1 << 7 * (order - 1)) - 1)]
-        levels.append(np.where(mine >= 0, mine, shorter))
+        mine[kept[1][picked]] = picked + 1
+        shorter = longest[-1][np.arange(1 << 7 * order) & ((1 << 7 * (order - 1)) - 1)]
         own.append(mine)
+        longest.append(np.where(mine >= 0, mine, shorter))
+    return own, longest
 
-    nodes = found.shape[1] + 1
+
+def tables(statistics: Statistics) -> Model:
+    """Code lengths of every symbol in every kept context."""
+    languages, kept = statistics.languages, statistics.kept
+    nodes = kept.shape[1] + 1
+    _, longest = _levels(kept)
     bits = np.zeros((nodes * SYMBOLS, max(1, len(languages))), np.float32)
-    for column, lang in enumerate(languages):
-        symbols, keys = walked[lang]
-        counts = np.zeros((nodes, SYMBOLS))
-        for order in range(ORDER + 1):
-            at = own[order][keys & ((1 << 7 * order) - 1)]
-            kept = at >= 0
-            counts += np.bincount(at[kept].astype(np.int64) * SYMBOLS + symbols[kept], minlength=nodes * SYMBOLS).reshape(nodes, SYMBOLS)
+    for column, (places, values) in enumerate(statistics.counts):
+        counts = np.zeros(nodes * SYMBOLS)
+        counts[places] = values
+        counts = counts.reshape(nodes, SYMBOLS)
         chance = np.full((nodes, SYMBOLS), 1 / (SYMBOLS - 1))
         chance[0] = _escaped(counts[:1], chance[:1])[0]
         for order in range(1, ORDER + 1):
-            mine = np.flatnonzero(found[1] == order) + 1
-            shorter = levels[order - 1][found[2][mine - 1] & ((1 << 7 * (order - 1)) - 1)]
+            mine = np.flatnonzero(kept[0] == order) + 1
+            shorter = longest[order - 1][kept[1][mine - 1] & ((1 << 7 * (order - 1)) - 1)]
             chance[mine] = _escaped(counts[mine], chance[shorter])
-        chance[:, SYMBOLS - 1] /= shared
+        chance[:, SYMBOLS - 1] /= statistics.shared
         bits[:, column] = -np.log2(np.maximum(chance, 1e-30)).ravel()
-    return Model(languages, symbol, levels[-1], bits)
+    return Model(statistics, languages, statistics.symbol, longest[-1], bits)
 
 
 def _escaped(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:

@@ -106,16 +106,27 @@ class Model:
         return self.forward(x, firsts)["score"].astype(np.float64)
 
 
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the columns, by small parts; a deviation is never 0."""
+    total, squares = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for low in range(0, len(x), 4096):
+        some = x[low : low + 4096].astype(np.float64)
+        total += some.sum(0)
+        squares += (some * some).sum(0)
+    mean = total / len(x)
+    return mean.astype(np.float32), (np.sqrt(np.maximum(0, squares / len(x) - mean**2)) + 0.02).astype(np.float32)
+
+
 def fit(x: np.ndarray, firsts: np.ndarray, labels: np.ndarray, seed: int = 0) -> Model:
     """Gated attention over passages, by Adam on the mean logistic loss of bags, labels weighed alike."""
     random = np.random.default_rng(seed)
-    scale = x.std(0) + 0.02
+    mean, scale = _moments(x)
 
     def start(*shape: int) -> np.ndarray:
         return (random.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
     weights = {"encode": start(FEATURES, HIDDEN) * 0.5, "encode0": np.zeros(HIDDEN, np.float32), "value": start(HIDDEN, GATES), "gate": start(HIDDEN, GATES), "attend": start(GATES), "score": start(HIDDEN), "score0": np.zeros(1, np.float32)}
-    model = Model(x.mean(0), scale.astype(np.float32), weights)
+    model = Model(mean, scale, weights)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     step = 0
     share = np.clip(labels.mean(), 0.05, 0.95)
@@ -163,10 +174,22 @@ def learned(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     taught = rows.join(sample, "doc_id").select("doc_id", "label", "text").orderBy("doc_id", "text").collect()
     if len({r.label for r in taught}) < 2:
         return None
+    labels_ = np.array([r.label for r in taught], np.float32)
     data, offsets = flat.flat(pa.array([r.text for r in taught], pa.string()))
-    parts = [passages(*flat.part(data, offsets, low, high)) for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 4)]
-    bags = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(firsts) for _, firsts in parts]))])
-    return fit(np.concatenate([x for x, _ in parts]), bags, np.array([r.label for r in taught], np.float32))
+    del taught
+    return fit(*_all_passages(data, offsets), labels_)
+
+
+def _all_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As passages(), by small parts into one array."""
+    out = np.empty((len(data) // (2 * PASSAGE_WORDS) + 2 * len(offsets), FEATURES), np.float32)  # a word takes two bytes; what isn't filled isn't touched
+    bags, filled = [np.zeros(1, np.int64)], 0
+    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 4):
+        x, firsts = passages(*flat.part(data, offsets, low, high))
+        out[filled : filled + len(x)] = x
+        bags.append(filled + firsts[1:])
+        filled += len(x)
+    return out[:filled], np.concatenate(bags)
 
 
 def batch_scores(model: Model | None, texts: pa.Array) -> np.ndarray:
