@@ -31,3 +31,12 @@ def index_stats(table: TableDef, rows: DataFrame, columns: list[str]) -> DataFra
     """(table_name, column_name, rec_per_key): rows for each distinct key; 1 where there are none."""
     found = _each(table, rows, columns, lambda c: F.when(F.count("*") > 0, F.count("*") / F.count_distinct(F.col(c))).otherwise(F.lit(1.0)))
     return found.select(F.lit(table.name).alias("table_name"), "column_name", F.col("m").alias("rec_per_key"))
+
+
+def range_rows(table: TableDef, rows: DataFrame, column: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """(table_name, column_name, row_count) of rows whose text in the column is from low to high, both included; None is no bound."""
+    value = rendered(F.col(column), table.kind(column))
+    for bound, inside in ((low, value >= F.lit(low)), (high, value <= F.lit(high))):
+        if bound is not None:
+            rows = rows.filter(inside)
+    return rows.agg(F.count("*").alias("row_count")).select(F.lit(table.name).alias("table_name"), F.lit(column).alias("column_name"), "row_count")

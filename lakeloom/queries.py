@@ -186,6 +186,10 @@ def stats_rec_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, ["orders"]).index_stats("orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
 
 
+def stats_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, ["orders"]).range_rows("orders", "o_orderpriority", "2-HIGH", "4")
+
+
 def union_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = engine(spark, sf_dir, ["customer"]).session()
     return union_distinct(session.query("SELECT c_mktsegment FROM customer WHERE c_nationkey < '2';"), session.query("SELECT c_mktsegment FROM customer WHERE c_nationkey >= '2';"))
@@ -208,6 +212,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "stats_table": (stats_table, "SELECT 'orders' AS table_name, count(*) AS row_count FROM orders"),
     "stats_columns": (stats_columns, " UNION ALL ".join(f"SELECT 'orders' AS table_name, '{c}' AS column_name, count(DISTINCT {text(c, k)}) AS distinct_count, min({text(c, k)}) AS min_value, max({text(c, k)}) AS max_value FROM orders" for c, k in _ORDERS)),
     "stats_rec_per_key": (stats_rec_per_key, " UNION ALL ".join(f"SELECT 'orders' AS table_name, '{c}' AS column_name, CAST(count(*) AS DOUBLE) / count(DISTINCT {c}) AS rec_per_key FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderpriority"))),
+    "stats_range": (stats_range, "SELECT 'orders' AS table_name, 'o_orderpriority' AS column_name, count(*) AS row_count FROM orders WHERE o_orderpriority BETWEEN '2-HIGH' AND '4'"),
     "union_distinct": (union_api, "SELECT DISTINCT c_mktsegment FROM customer"),
     "catalog_columns": (catalog_columns, "SELECT * FROM (VALUES ('regions', 0, 'id', 'VARCHAR'), ('regions', 1, 'name', 'VARCHAR'), ('nations', 0, 'id', 'VARCHAR'), ('nations', 1, 'name', 'VARCHAR'), ('nations', 2, 'region_id', 'VARCHAR')) v(table_name, position, column_name, column_type)"),
     "catalog_indexes": (catalog_indexes, "SELECT * FROM (VALUES ('regions', 'PRIMARY', 0, 'id', true), ('nations', 'PRIMARY', 0, 'id', true), ('regions', 'region_name', 0, 'name', true), ('nations', 'nation_name', 0, 'name', true), ('nations', 'nation_region', 0, 'region_id', false)) v(table_name, index_name, position, column_name, is_unique)"),

@@ -302,6 +302,21 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.table("streamed").collect()] == [("b",)]
 
 
+def test_statistics(engine):
+    s = engine.session()
+    assert engine.table_stats("orders").collect() == [("orders", 3)]
+    assert sorted(map(tuple, engine.index_stats("orders", ["id", "user_id"]).collect())) == [("orders", "id", 1.0), ("orders", "user_id", 1.5)]
+    first = engine.analyze("orders")
+    assert first[0][1] == 3 and ("user_id", 2, "1", "3") in first and engine.analyze("orders") is first
+    s.execute("DELETE FROM orders WHERE user_id = '3';")
+    assert engine.analyze("orders")[0][1] == 1
+    s.execute("DELETE FROM orders;")
+    assert engine.index_stats("orders").collect() == [("orders", "user_id", 1.0)]
+    assert engine.range_rows("users", "id", "2", "40").first().row_count == 3
+    sizes = {r.table_name: r for r in engine.storage_stats().collect()}
+    assert sizes["orders"].delta_layers == 2 and sizes["users"].base_layers == 1 and sizes["users"].bytes > 0
+
+
 STEPS = st.lists(st.tuples(st.integers(0, 1), st.sampled_from(["begin", "commit", "rollback", "insert", "update", "delete", "read"]), st.integers(0, 3), st.integers(0, 2)), min_size=4, max_size=14)
 
 
