@@ -38,7 +38,7 @@ PLACE_BITS = 14
 BLOCK_SHINGLES = 600_000
 BLOCK_NODES = 2_000
 PART_SHINGLES = 1_500_000
-HUB_TURNS = 3
+HUB_TURNS = 1
 HUBS = 2
 LINKED = f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)"
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -225,6 +225,10 @@ def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.groupBy("block").cogroup(nodes.select("block", "node", "n").groupBy("block")).applyInArrow(run, schema)
 
 
+def some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
 def _groups(nodes: DataFrame) -> DataFrame:
     """(owner, root, apart) of each candidate: its leaders followed to the last one, and a bound on how far the two sets differ."""
     heads = nodes.select(F.col("owner").alias("leader"), F.col("n").alias("leader_n"))
@@ -268,6 +272,21 @@ def _mixed(entries: DataFrame, component_of: DataFrame) -> DataFrame:
     return saved(known.join(several, "value"), "shingle-mixed")
 
 
+def _possible(mixed: DataFrame) -> DataFrame:
+    """Entries that may link with the smallest set of another component in their list, in lists where components still meet.
+
+    What is dropped can link with nothing in that list: a set's rest bounds the size of a partner from above. So a list does not grow
+    with the square of a large group on account of a few sets that are almost, but not, like it.
+    """
+    least = mixed.groupBy("value").agg(F.min(F.struct("n", "component")).alias("least"))
+    known = mixed.join(least, "value")
+    other = known.filter("component <> least.component").groupBy("value").agg(F.min("n").alias("other"))
+    partner = "case when component <> least.component then least.n else other end"
+    alive = known.join(other, "value").filter(f"{100 + PERCENT} * rest >= {PERCENT} * (n + {partner})").select(*mixed.columns)
+    several = alive.groupBy("value").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("value")
+    return saved(alive.join(several, "value"), "shingle-possible")
+
+
 def _met_by_hubs(mixed: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     """Links (a, b) between components: each list's entries are compared with one hub of it, an entry with HUBS hubs at most.
 
@@ -325,20 +344,22 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     joined = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for turn in range(HUB_TURNS):
         met = saved(_met_by_hubs(_mixed(entries, joined), found, turn), "shingle-links")
-        if not met.limit(1).count():
+        if not some(met):
             break
         edges = edges.union(met).union(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
         joined = saved(connected(edges), "shingle-joined")
 
     # What is left of the lists is compared whole: the roots of groups first.
-    mixed = _mixed(entries, joined)
+    mixed = _possible(_mixed(entries, joined))
     lists = mixed.groupBy("value", "root", "component").agg(F.min("n").alias("least"), F.max("rest").alias("rest"))
     other = lists.select("value", F.col("root").alias("b"), F.col("component").alias("in_b"), F.col("least").alias("least_b"), F.col("rest").alias("rest_b"))
     meets = lists.withColumnRenamed("root", "a").withColumnRenamed("component", "in_a").join(other, "value")
     meets = meets.filter("in_a < in_b and " + _may_link("least", "rest", "least_b", "rest_b"))
     roots = saved(_compared(meets.select("a", "b").distinct(), found), "shingle-roots")
-    edges = edges.union(roots.filter(LINKED).select("a", "b"))
-    joined = saved(connected(edges), "shingle-joined")
+    met = roots.filter(LINKED).select("a", "b")
+    if some(met):
+        edges = edges.union(met)
+        joined = saved(connected(edges), "shingle-joined")
 
     # Groups whose roots don't link, and whose members are too spread for that to settle them.
     spread = mixed.groupBy("root").agg(F.max("apart").alias("apart"), F.max("n").alias("most"))
@@ -353,8 +374,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     two = mixed.select("value", F.col("owner").alias("b"), F.col("n").alias("size_b"), F.col("rest").alias("rest_b"), F.col("root").alias("root_b"), F.col("apart").alias("apart_b"))
     reach = f"{100 + PERCENT} * (gap - apart_a - apart_b) <= {100 - PERCENT} * (size_a + size_b) and " + _may_link("size_a", "rest_a", "size_b", "rest_b")
     members = one.join(open_, "root_a").join(two, ["value", "root_b"]).filter(reach).select("a", "b", "root_a", "root_b").distinct()
-    more = _compared(members, found).filter(LINKED).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    joined = connected(edges.union(more))
+    more = saved(_compared(members, found).filter(LINKED).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "shingle-links")
+    if some(more):
+        joined = connected(edges.union(more))
 
     of_root = groups.join(joined, groups["root"] == joined["id"], "left").select("owner", F.coalesce("component", "root").alias("component"))
     of_node = found.select("owner", "node").join(of_root, "owner").join(nodes.select("node", "low"), "node").select("node", "component", "low")
