@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm import flat
 from lakeloom.llm.langid import remainder
 from lakeloom.llm.packed import pack, unpack
-from lakeloom.llm.trie import Trie
+from lakeloom.llm.trie import Trie, after_one
 
 ORDER = 3
 STRENGTH = 60.0
@@ -190,70 +190,45 @@ def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def block_trie(own: np.ndarray, places: np.ndarray, counts: list[np.ndarray], total: int, words: int, strength: float = STRENGTH) -> tuple[Trie, np.ndarray, list[np.ndarray]]:
-    """The trie of a block's n-grams that the training corpus has, and the ids of its tokens and their histories.
+def block_trie(own: np.ndarray, places: np.ndarray, counts: list[np.ndarray], total: int, words: int, strength: float = STRENGTH) -> tuple[Trie, np.ndarray, int]:
+    """The trie of a block's n-grams that the training corpus has, the ids of its tokens, and the id that stands before a text.
 
     counts: for each order, the corpus count of the n-gram that ends at each token.
     """
     order = len(counts)
     vocabulary, first, ids = np.unique(own, return_index=True, return_inverse=True)
     known = counts[0][first] > 0
-    rank = np.where(known, np.cumsum(known) - 1, -1)
+    ids = np.where(known, np.cumsum(known) - 1, -1)[ids]
     size = int(known.sum())
-    begin = size  # an id of its own, that is only ever a history
-    ids = rank[ids]
-    before = histories(ids, places, begin, order)
+    begin = size  # an id of its own, that is only ever a context
     seen = counts[0][first][known].astype(np.float64)
     at_end = np.searchsorted(vocabulary, END)
     starts = float(counts[0][first][at_end]) if at_end < len(vocabulary) and vocabulary[at_end] == END else 0.0
     chance = np.append((seen + 1) / (total + words + 1), 1.0)
-    entries = np.append(seen, starts)  # of each context of this order
+    times = np.append(seen, starts)  # how often each context of this order is followed
     chances, backoffs, levels = [np.log10(chance)], [], []
     lower = np.where(ids >= 0, chance[np.maximum(ids, 0)], 1 / (total + words + 1))  # of each token, by the order below
-    context = before[0] if order > 1 else None
+    entries, before = ids, begin  # of each token in the order below, and of what stands before a text
     for n in range(2, order + 1):
-        backoffs.append(np.log10(strength / (entries + strength)))
-        here = np.where(context >= 0, entries[np.maximum(context, 0)], 0.0)
+        context = after_one(entries, places, before)
+        backoffs.append(np.log10(strength / (times + strength)))
+        here = np.where(context >= 0, times[np.maximum(context, 0)], 0.0)
         value = (counts[n - 1] + strength * lower) / (here + strength)
         kept = np.flatnonzero((counts[n - 1] > 0) & (context >= 0) & (ids >= 0))
         pair = context[kept] * (size + 1) + ids[kept]
         if n < order:  # what stands before a text is a context too
-            pair = np.append(pair, _begins(levels, begin, size))
-        pair, at = np.unique(pair, return_index=True)
+            pair = np.append(pair, before * (size + 1) + begin)
+        pair, at, place = np.unique(pair, return_index=True, return_inverse=True)
         real = at < len(kept)
-        level_chance, entries = np.ones(len(pair)), np.full(len(pair), starts)
-        level_chance[real], entries[real] = value[kept[at[real]]], counts[n - 1][kept[at[real]]]
+        level_chance, times = np.ones(len(pair)), np.full(len(pair), starts)
+        level_chance[real], times[real] = value[kept[at[real]]], counts[n - 1][kept[at[real]]]
         chances.append(np.log10(np.minimum(level_chance, 1.0)))
         levels.append((pair // (size + 1), pair % (size + 1)))
         lower = value
-        if n < order:  # the entry of each token's longer history: the history's own entry in this level
-            context = _entry(levels, before[: n][::-1], size)
-    return Trie(size + 1, levels, chances, backoffs), ids, before
-
-
-def _begins(levels: list[tuple[np.ndarray, np.ndarray]], begin: int, size: int) -> np.ndarray:
-    """The pair (history of begins only, begin) in the next level."""
-    context = np.array([begin])
-    for above in levels:
-        context = _find(above, context, np.array([begin]), size)
-    return context * (size + 1) + begin
-
-
-def _find(level: tuple[np.ndarray, np.ndarray], context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    pairs = level[0] * (size + 1) + level[1]
-    if not len(pairs):
-        return np.full(len(word), -1)
-    wanted = context * (size + 1) + word
-    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-    return np.where((context >= 0) & (word >= 0) & (pairs[at] == wanted), at, -1)
-
-
-def _entry(levels: list[tuple[np.ndarray, np.ndarray]], history: list[np.ndarray], size: int) -> np.ndarray:
-    """Entry of a history, its earliest word first, in the last level."""
-    context = history[0]
-    for level, word in zip(levels, history[1:], strict=True):
-        context = _find(level, context, word, size)
-    return context
+        entries = np.full(len(ids), -1)
+        entries[kept] = place[: len(kept)]
+        before = int(place[-1]) if n < order else -1
+    return Trie(size + 1, levels, chances, backoffs), ids, begin
 
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out: Column | None = None, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
@@ -285,8 +260,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             sums = np.concatenate([_counts_of(pieces.column("counts")[int(k)].as_py(), int(sizes[asked_of[k]])) for k in np.flatnonzero(orders == n)])
             assert len(distinct) == len(sums), "the block's texts are not those that asked"
             counts.append(sums[inverse])
-        trie, ids, before = block_trie(own, places, counts, total, words, strength)
-        score = trie.scores(ids, before, -math.log10(total + words + 1))
+        trie, ids, begin = block_trie(own, places, counts, total, words, strength)
+        score = trie.scores(ids, places, begin, -math.log10(total + words + 1))
         base = np.log10((counts[0] + 1) / (total + words + 1))
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), places[:-1])
         columns = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(places)), pa.array(known), pa.array(np.full(table.num_rows, total, np.int64)), pa.array(np.add.reduceat(base, places[:-1])), pa.array(np.add.reduceat(score, places[:-1]))]

@@ -118,21 +118,29 @@ class Trie:
         found = (contexts >= 0) & (words >= 0) & (at < high) & (values[np.minimum(at, len(values) - 1)] == wanted)
         return np.where(found, at, -1)
 
-    def scores(self, words: np.ndarray, histories: list[np.ndarray], unknown: float) -> np.ndarray:
-        """log10 probability of each word after its history, histories[0] being the word before; ids are -1 where unknown."""
+    def scores(self, words: np.ndarray, places: np.ndarray, begin: int, unknown: float) -> np.ndarray:
+        """log10 probability of each word after those before it in its row; ids are -1 where unknown, rows begin at places, after words `begin`.
+
+        The entry of a word in one level is the context of the next word in the level below it.
+        """
         known = words >= 0
         out = np.where(known, value_of(self.chances[0], np.maximum(words, 0)), unknown)
-        context = histories[0] if histories else None
+        entries, first = words, begin
         for order in range(2, len(self.chances) + 1):
-            # The entry of this order's history, and of the history with the word.
-            if order > 2:
-                context = histories[order - 2]
-                for k in range(2, order):
-                    context = self.successors(k, context, histories[order - 1 - k])
-            has = context >= 0
-            if not has.any():
-                continue
-            entry = np.where(known, self.successors(order, context, np.maximum(words, 0)), -1)
-            backed = out + np.where(has, value_of(self.backoffs[order - 2], np.maximum(context, 0)), 0.0)
-            out = np.where(entry >= 0, value_of(self.chances[order - 1], np.maximum(entry, 0)) if len(self.chances[order - 1][1]) else backed, backed)
+            context = after_one(entries, places, first)
+            entries = self.successors(order, context, words)
+            backed = out + np.where(context >= 0, value_of(self.backoffs[order - 2], np.maximum(context, 0)), 0.0)
+            found = np.flatnonzero(entries >= 0)
+            backed[found] = value_of(self.chances[order - 1], entries[found])
+            out = backed
+            if order < len(self.chances):
+                first = int(self.successors(order, np.array([first]), np.array([begin]))[0])
         return out
+
+
+def after_one(values: np.ndarray, places: np.ndarray, first: int) -> np.ndarray:
+    """Each row's values one place later; first stands at its start."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[places[:-1]] = first
+    return out
