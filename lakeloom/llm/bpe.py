@@ -132,6 +132,11 @@ class Codec:
                 self.memo[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.memo.clear()
+        self.fits_memo.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -189,6 +194,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             data, offsets = flat.flat(batch.column(1))
             for low, high in flat.chunks(offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *encode(*flat.part(data, offsets, low, high))], ["doc_id", *names])
+        codec(path).forget()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(flat.tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -114,7 +114,7 @@ def _measured(rows: DataFrame, shingle: int) -> DataFrame:
                 nodes.append(node_keys(values, bounds))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts)), pa.array(np.concatenate(nodes))], ["doc_id", "n", "node"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, node long")
+    return rows.mapInArrow(flat.tidy(run), "doc_id long, n long, node long")
 
 
 def _sent(texts: DataFrame, nodes: DataFrame, blocks: int, parts: int, bits: int, shingle: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _exploded(df: DataFrame) -> DataFrame:
                 shared = (some.column(2).to_numpy() - some.column(3).to_numpy())[times]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(shared - within), *(c.take(pa.array(times)) for c in some.columns[1:])], ["value", "rest", *some.schema.names[1:]])
 
-    return df.select("prefix", "owner", "n", "alone", "root", "apart").mapInArrow(run, "value long, rest long, owner long, n long, alone long, root long, apart long")
+    return df.select("prefix", "owner", "n", "alone", "root", "apart").mapInArrow(flat.tidy(run), "value long, rest long, owner long, n long, alone long, root long, apart long")
 
 
 def _may_link(n: str, rest: str, other_n: str, other_rest: str) -> str:
@@ -315,7 +315,7 @@ def _compared(pairs: DataFrame, shared: DataFrame) -> DataFrame:
             overlap = [len(np.intersect1d(unpack(x.as_py()), unpack(y.as_py()), assume_unique=True)) for x, y in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(overlap, pa.int64())], [*batch.schema.names[2:], "overlap"])
 
-    return rows.mapInArrow(run, kinds + ", overlap long")
+    return rows.mapInArrow(flat.tidy(run), kinds + ", overlap long")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -228,7 +228,7 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     held = F.coalesce(remainder(F.col(id_column), held_out) == 0, F.lit(False))
     rows = docs.select(F.col(id_column).alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(flat.tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -241,4 +241,4 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_column: str = "doc_id", t
             names, scores = batch_predictions(model.value, batch.column(at))
             yield batch.filter(pa.array(np.array([n != "und" for n in names], bool) & (scores >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(flat.tidy(run), docs.schema)

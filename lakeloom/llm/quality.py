@@ -217,7 +217,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     held = F.coalesce(remainder(F.col(id_column), held_out) == 0, F.lit(False))
     rows = docs.select(F.col(id_column).alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(flat.tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
         for batch in batches:
             yield batch.filter(pa.array(batch_scores(model.value, batch.column(at)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(flat.tidy(run), docs.schema)

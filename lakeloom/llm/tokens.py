@@ -130,4 +130,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(flat.tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
