@@ -1,6 +1,7 @@
 """License scans: an exact containment join of text blocks with license templates, with DataFrame functions only.
 
-A block is a line; its set is its distinct words. A block matches a template when it holds at least THRESHOLD of the template's
+A block is a line, or a window of a template's length over the text's words, whatever line breaks stand between them, so that a wrapped
+notice is met too; its set is its distinct words. A block matches a template when it holds at least THRESHOLD of the template's
 words. Words are ordered by how many documents have them, rarest first, over all documents. By that order a match must hold one of
 the template's first few words (prefix filter); the block must have enough words at all (length filter); and after the first
 prefix word that it holds, enough of the template's words must remain (positional filter). What passes is counted exactly.
@@ -51,6 +52,11 @@ def needed(count: int) -> int:
     return math.ceil(THRESHOLD * count - 1e-9)
 
 
+def window(text: str) -> int:
+    """Words of a template's window: as many as the template has, and so many more that they'd be the threshold of it."""
+    return math.ceil(len(text.split()) / THRESHOLD - 1e-9)
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -75,13 +81,14 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """The license phrases and template blocks of each row's whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest containment of a template in a
-    block; 1 where a base phrase stands), blocks (places of matching lines, with every template they meet). A line gives the label of the
-    template that it holds most of, the longer of equals. A null text counts as empty:
+    block; 1 where a base phrase stands), blocks (places of matching lines, with every template they meet), windows (the same by the place
+    of the window's first word). A line or window gives the label of the template that it holds most of, the longer of equals. A null text counts as empty:
     no words, no labels, score 0. Repeated rows and null identifiers stay as they are. Other columns are dropped, so their names can't
     clash.
     """
     templates = TEMPLATES if templates is None else templates
     sets = [(label, template_words(text)) for label, text in templates]
+    spans = [window(text) for _, text in templates]
     known = sorted({w for _, ws in sets for w in ws})
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     counted = rows.select("doc_id", "text", words(F.col("text")).alias("words")).select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", strings(known)).alias("held"))
@@ -95,9 +102,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     order = sorted(known, key=lambda w: (counts.get(w, 0), w))
     ranked = [(label, sorted(ws, key=order.index)) for label, ws in sets]
 
-    def matches(line: Column) -> Column:
+    def matches(found: Column) -> Column:
         """Containment, words and label of each template that the block's words meet."""
-        found = F.array_distinct(words(line))
 
         def one(block: Column) -> Column:
             tests = []
@@ -111,15 +117,32 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 tests.append(F.struct(share.alias("share"), F.lit(len(ws)).alias("words"), F.lit(label).alias("label")))
             return F.filter(F.array(*tests), lambda t: t["share"] >= THRESHOLD - 1e-9)
 
-        return F.element_at(F.transform(F.array(found), one), 1)
+        return F.element_at(F.transform(F.array(F.array_distinct(found)), one), 1)
+
+    def met(k: int) -> Column:
+        """Places, from 0, of the template's words from which on its window holds enough of them."""
+        ws, span = strings(sets[k][1]), F.lit(spans[k])
+        need = needed(len(sets[k][1]))
+        starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(ws, F.get("words", i)) & (F.size(F.array_intersect(F.slice("words", i + 1, span), ws)) >= need))
+        return F.when(F.size(F.array_intersect("held", ws)) >= need, starts).otherwise(F.array().cast("array<int>"))
+
+    def at_start(i: Column) -> Column:
+        """The matches of every template's window from there."""
+        tests = []
+        for (label, ws), span in zip(sets, spans, strict=True):
+            share = F.size(F.array_intersect(F.slice("words", i + 1, F.lit(span)), strings(ws))) / F.lit(float(len(ws)))
+            tests.append(F.struct(share.alias("share"), F.lit(len(ws)).alias("words"), F.lit(label).alias("label")))
+        return F.filter(F.array(*tests), lambda t: t["share"] >= THRESHOLD - 1e-9)
 
-    lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("line"), matches(line).alias("matches")))
+    lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("line"), matches(words(line)).alias("matches")))
     some = first.filter("text is not null").withColumn("blocks", F.filter(lines, lambda b: F.size(b["matches"]) > 0)).withColumn("words", words(F.col("text")))
+    some = some.withColumn("windows", F.transform(F.array_sort(F.array_distinct(F.flatten(F.array(*(met(k) for k in range(len(sets))))))), lambda i: F.struct(i.alias("word"), at_start(i).alias("matches"))))
     starts = F.array(*(F.struct(F.lit(label).alias("label"), places(F.col("words"), phrase).alias("at")) for phrase, label in PHRASES.items()))
     some = some.withColumn("phrases", F.filter(starts, lambda p: F.size(p["at"]) > 0))
     at = F.flatten(F.transform("phrases", lambda p: p["at"]))
     base = F.transform("phrases", lambda p: p["label"])
-    every = F.array_sort(F.array_union(base, F.transform("blocks", lambda b: F.array_max(b["matches"])["label"])))
+    best = F.concat(*(F.transform(c, lambda b: F.array_max(b["matches"])) for c in ("blocks", "windows")))
+    every = F.array_sort(F.array_union(base, F.transform(best, lambda m: m["label"])))
     some = some.select(
         "doc_id",
         "n_words",
@@ -128,8 +151,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: F.array_max(b["matches"])["share"])), F.lit(0.0))).alias("score"),
+        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(best)["share"], F.lit(0.0))).alias("score"),
         "blocks",
+        "windows",
     )
     none = first.filter("text is null").select("doc_id", "n_words")
     return some.unionByName(none, allowMissingColumns=True).fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})

@@ -48,7 +48,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir)).drop("blocks")
+    return licenses.scan(documents(spark, sf_dir)).drop("blocks", "windows")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

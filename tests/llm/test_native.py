@@ -75,3 +75,21 @@ def test_no_match_is_filtered_away(spark):
         own = set(lines[r.doc_id].split())
         want = {(label, len(own & set(t.split())) / len(set(t.split()))) for label, t in licenses.TEMPLATES if len(own & set(t.split())) / len(set(t.split())) >= licenses.THRESHOLD - 1e-9}
         assert {(m.label, m.share) for b in r.blocks or [] for m in b.matches} == want
+
+
+WRAPPED = {
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "bsd",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": "mit",
+    "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that": "isc",
+    " * under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either": "gpl,lgpl",
+    "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at": "apache",
+    "Redistribution and use in source and binary forms,\n\nthe rest of the notice is not here": "",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = list(enumerate(WRAPPED))
+    rows += [(k + len(WRAPPED), "Some words first.\n" * 50 + text + "\nand more.") for k, text in rows]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, want in enumerate([*WRAPPED.values()] * 2):
+        assert (found[k].labels, found[k].score) == (want, 1.0 if want else 0.0) and not found[k].blocks
