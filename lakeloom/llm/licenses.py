@@ -77,13 +77,29 @@ def places(found: Column, phrase: str) -> Column:
     return starts
 
 
+def tested(label: str, ws: list[str], held: Column) -> Column:
+    return F.struct(F.lit(len(ws)).alias("words"), F.lit(label).alias("label"), held.alias("held"))
+
+
+def meeting(tests: list[Column]) -> Column:
+    """Of the tests, those that meet the threshold, with their containment; better ones are greater."""
+    shares = F.transform(F.array(*tests), lambda t: F.struct((F.size(t["held"]) / t["words"]).alias("share"), t["words"], t["label"], t["held"]))
+    return F.filter(shares, lambda t: t["share"] >= THRESHOLD - 1e-9)
+
+
+def unexplained(matches: Column) -> Column:
+    """The matches without those whose words are all words of a better one."""
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o > m) & (F.size(F.array_except(m["held"], o["held"])) == 0)))
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """The license phrases and template blocks of each row's whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest containment of a template in a
     block; 1 where a base phrase stands), blocks (places of matching lines, with every template they meet), windows (the same by the place
-    of the window's first word). A line or window gives the label of the template that it holds most of, the longer of equals. A null text counts as empty:
-    no words, no labels, score 0. Repeated rows and null identifiers stay as they are. Other columns are dropped, so their names can't
+    of the window's first word). A line or window gives the label of every template that it meets, but for those whose
+    words in it are all words of a better one, which it holds more of, or the longer of equals (cc-by within cc-by-nc). A null text
+    counts as empty: no words, no labels, score 0. Repeated rows and null identifiers stay as they are. Other columns are dropped, so their names can't
     clash.
     """
     templates = TEMPLATES if templates is None else templates
@@ -103,7 +119,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ranked = [(label, sorted(ws, key=order.index)) for label, ws in sets]
 
     def matches(found: Column) -> Column:
-        """Containment, words and label of each template that the block's words meet."""
+        """Containment, words, label and words held of each template that the block's words meet."""
 
         def one(block: Column) -> Column:
             tests = []
@@ -113,9 +129,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 # Place of the first prefix word that is there; from it on, enough words must be left.
                 at = F.coalesce(*(F.when(F.array_contains(block, w), F.lit(k)) for k, w in enumerate(prefix)), F.lit(len(ws)))
                 may = (F.size(block) >= need) & (len(ws) - at >= need)
-                share = F.when(may, F.size(F.array_intersect(block, strings(ws))) / F.lit(float(len(ws)))).otherwise(F.lit(0.0))
-                tests.append(F.struct(share.alias("share"), F.lit(len(ws)).alias("words"), F.lit(label).alias("label")))
-            return F.filter(F.array(*tests), lambda t: t["share"] >= THRESHOLD - 1e-9)
+                tests.append(tested(label, ws, F.when(may, F.array_intersect(block, strings(ws))).otherwise(strings([]).cast("array<string>"))))
+            return meeting(tests)
 
         return F.element_at(F.transform(F.array(F.array_distinct(found)), one), 1)
 
@@ -130,9 +145,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         """The matches of every template's window from there."""
         tests = []
         for (label, ws), span in zip(sets, spans, strict=True):
-            share = F.size(F.array_intersect(F.slice("words", i + 1, F.lit(span)), strings(ws))) / F.lit(float(len(ws)))
-            tests.append(F.struct(share.alias("share"), F.lit(len(ws)).alias("words"), F.lit(label).alias("label")))
-        return F.filter(F.array(*tests), lambda t: t["share"] >= THRESHOLD - 1e-9)
+            tests.append(tested(label, ws, F.array_intersect(F.slice("words", i + 1, F.lit(span)), strings(ws))))
+        return meeting(tests)
 
     lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("line"), matches(words(line)).alias("matches")))
     some = first.filter("text is not null").withColumn("blocks", F.filter(lines, lambda b: F.size(b["matches"]) > 0)).withColumn("words", words(F.col("text")))
@@ -141,8 +155,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     some = some.withColumn("phrases", F.filter(starts, lambda p: F.size(p["at"]) > 0))
     at = F.flatten(F.transform("phrases", lambda p: p["at"]))
     base = F.transform("phrases", lambda p: p["label"])
-    best = F.concat(*(F.transform(c, lambda b: F.array_max(b["matches"])) for c in ("blocks", "windows")))
-    every = F.array_sort(F.array_union(base, F.transform(best, lambda m: m["label"])))
+    kept = F.concat(*(F.flatten(F.transform(c, lambda b: unexplained(b["matches"]))) for c in ("blocks", "windows")))
+    every = F.array_sort(F.array_union(base, F.transform(kept, lambda m: m["label"])))
     some = some.select(
         "doc_id",
         "n_words",
@@ -151,7 +165,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(best)["share"], F.lit(0.0))).alias("score"),
+        F.when(F.size(at) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(kept)["share"], F.lit(0.0))).alias("score"),
         "blocks",
         "windows",
     )

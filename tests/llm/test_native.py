@@ -93,3 +93,19 @@ def test_wrapped_notices(spark):
     found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, want in enumerate([*WRAPPED.values()] * 2):
         assert (found[k].labels, found[k].score) == (want, 1.0 if want else 0.0) and not found[k].blocks
+
+
+def test_every_license_of_a_line(spark):
+    """A label stays unless its words are a better one's; each place counts on its own."""
+    mit, bsd = (next(t for label, t in licenses.TEMPLATES[1:] if label == x) for x in ("mit", "bsd"))
+    woven = " ".join(f"{a} {b}" for a, b in zip(mit.split(), bsd.split() + ["x"] * 9, strict=False))
+    texts = {
+        f"{mit}. {bsd}.": "bsd,mit",
+        woven: "bsd,mit",
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc,cc-by-sa",
+        "Version 4.0. Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+    }
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k].labels for k in range(len(texts))] == [*texts.values()]
