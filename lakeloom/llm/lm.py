@@ -26,7 +26,7 @@ from lakeloom.llm.trie import Trie, after_one
 
 ORDER = 3
 STRENGTH = 60.0
-SPARE_BITS = 12
+SPARE_BITS = 14
 WORD_BITS = 56
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20

@@ -46,6 +46,13 @@ def test_scores(spark, monkeypatch, order):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, abs=1e-3 * len(own))
 
 
+def test_few_unseen_keys_look_seen():
+    size = 1 << 20
+    words = np.random.default_rng(0).integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+    _, keys = lm.keys_of(words, np.array([0, 2 * size]), 2, size.bit_length() + lm.SPARE_BITS)
+    assert np.isin(keys[size:], keys[:size]).sum() < size / (1 << 13)
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(k, "a b") for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2], "doc_id long, text string")
     for r in lm.score_documents(docs).collect():
