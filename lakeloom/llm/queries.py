@@ -44,7 +44,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_documents(documents(spark, sf_dir), with_media=False).drop("keyframes")
+    return media.store_documents(documents(spark, sf_dir), with_media=False)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

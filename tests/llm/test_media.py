@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from lakeloom.llm import media
+from lakeloom.llm import media, queries
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"x" * 64, b"y" * 65, bytes(range(256)) * 900])
@@ -50,3 +50,11 @@ def test_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
     assert found[2].media == found[3].media
+
+
+def test_query_gives_every_keyframe_range(spark, tmp_path):
+    text = "a line of text, again and again. " * 200
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (row,) = queries.op7_media(spark, str(tmp_path)).collect()
+    (track,) = media.tracks(media.store(media.padded(text.encode())))
+    assert [tuple(x) for x in row.keyframes] == track.keyframes and len(track.keyframes) == 7
