@@ -117,7 +117,32 @@ def _measured(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(flat.tidy(run), "doc_id long, n long, node long")
 
 
-def _sent(texts: DataFrame, nodes: DataFrame, blocks: int, parts: int, bits: int, shingle: int) -> DataFrame:
+def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text, node of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat.flat(batch.column(1))
+            nodes = [node_keys(*shingle_sets(*flat.part(data, offsets, low, high), shingle)) for low, high in _cuts(offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *nodes]))], ["doc_id", "text", "node"])
+
+    return rows.select("doc_id", "text").mapInArrow(flat.tidy(run), "doc_id long, text string, node long")
+
+
+def _dealt(rows: DataFrame, nodes: DataFrame, blocks: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(block, doc_id, text) of the rows, and the nodes with their block.
+
+    By identifier; where so many different texts share one that a block has no place for all its nodes, by node.
+    """
+    by_low = saved(nodes.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int")), "shingle-nodes")
+    if (by_low.groupBy("block").count().agg(F.max("count")).first()[0] or 0) <= 1 << PLACE_BITS:
+        return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"), by_low
+    by_node = saved(by_low.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")), "shingle-nodes")
+    own = by_node.select(F.col("low").alias("doc_id"), "node", F.col("block").alias("at"))
+    return _keyed(rows, shingle).join(own, ["doc_id", "node"]).select(F.col("at").alias("block"), "doc_id", "text"), by_node
+
+
+def _sent(texts: DataFrame, nodes: DataFrame, parts: int, bits: int, shingle: int) -> DataFrame:
     """(block, part, keys): each block's shingles by the part of the shingle space, with the place of their node in the block."""
 
     def run(docs: pa.Table, own: pa.Table) -> pa.Table:
@@ -144,9 +169,8 @@ def _sent(texts: DataFrame, nodes: DataFrame, blocks: int, parts: int, bits: int
         some = [p for p in range(parts) if len(pieces[p])]
         return pa.table({"block": pa.array([block] * len(some), pa.int32()), "part": pa.array(some, pa.int32()), "keys": pa.array([pack(pieces[p]) for p in some], pa.binary())})
 
-    left = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     right = nodes.select("block", "node", "low")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "block int, part int, keys binary")
+    return texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "block int, part int, keys binary")
 
 
 def _met(sent: DataFrame) -> DataFrame:
@@ -333,9 +357,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     blocks = max(1, math.ceil((total or 0) / BLOCK_SHINGLES), math.ceil(count / BLOCK_NODES))
     parts = max(1, math.ceil((total or 0) / PART_SHINGLES))
     bits = min(HASH_BITS, max(36, (total or 1).bit_length() + 18))
-    nodes = saved(nodes.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int")), "shingle-nodes")
+    texts, nodes = _dealt(rows.filter("doc_id is not null"), nodes, blocks, shingle)
 
-    found = saved(_candidates(_met(_sent(rows.filter("doc_id is not null"), nodes, blocks, parts, bits, shingle)), nodes), "shingle-candidates")
+    found = saved(_candidates(_met(_sent(texts, nodes, parts, bits, shingle)), nodes), "shingle-candidates")
     groups = _groups(found.select("owner", "n", "leader", "common"))
 
     # Groups that meet in a prefix list: most link by a hub of the list, so that a large group of near copies is one at once.

@@ -91,3 +91,13 @@ def test_one_of_each(spark):
     rows = made(4)
     kept = {r.doc_id for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {k for k, (_, c) in brute(rows).items() if k == c}
+
+
+def test_many_texts_of_one_identifier(spark):
+    """More different texts of one identifier than a block has places for."""
+    texts = [f"w{k} x{k} a b c d e" for k in range((1 << jaccard.PLACE_BITS) + 500)]
+    long = " ".join(f"l{k}" for k in range(100))
+    rows = [(7, t) for t in [*texts, long]] + [(8, f"{long} more"), (3, "quite another text of its own"), (9, "w5 x5 a b c d e")]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and {(r.doc_id, r.component_id) for r in found} == {(7, 7), (8, 7), (3, 3), (9, 7)}
+    assert sorted(r.n_shingles for r in found) == sorted([3] * (len(texts) + 1) + [96, 97, 2])
