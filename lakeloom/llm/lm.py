@@ -1,38 +1,49 @@
-"""Scoring documents by an n-gram language model whose counts cover the whole training corpus.
-
-Documents are dealt into blocks. A block sends its distinct n-grams, sorted and packed, with their training counts, to the partitions
-of the n-gram space; there the counts of all blocks are added; the sums go back to the blocks that asked. So each block has exact corpus
-counts of just the n-grams that its texts need, whatever the size of the corpus, and builds its part of the model from them: an
-Elias-Fano trie (trie.py) of smoothed, quantised probabilities.
-
-Smoothing is hierarchical Dirichlet: an n-gram's probability is (count + M * p) / (count of its context + M), p being the probability
-after the context without its first word; a single word's is (count + 1) / (N + V + 1). For n-grams of two words and more, a key is
-SPARE_BITS longer than the corpus's size needs, so a count is too high with a chance of about 2**-SPARE_BITS; counts of words are exact.
+"""Scoring documents by an n-gram language model of the whole training corpus, in shards.
+
+1. A map over the documents cuts them into blocks and writes, for each, its distinct words and its texts as places in them.
+2. A block counts its distinct n-grams and sends them, sorted and packed, to shards. Words go by their own key. Longer n-grams go by the
+   key of their first two words, each as the words that follow these, so all n-grams that begin alike meet in one shard. Counts are
+   summed within a block before they are sent.
+3. A shard adds up the counts of all blocks and builds its part of the corpus's model: an Elias-Fano trie (trie.py) whose roots are the
+   pairs, with quantised smoothed probabilities. What the blocks sent is searched there, and the codes go back in the order of sending.
+4. The block adds up its texts' scores from the codes.
+
+Smoothing: a single word's probability is (count + 1) / (N + V + 1), a pair's (count + M * p) / (count of its first word + M), p being that of
+its last word alone. From three words on it is absolute discounting: (count - D) / F, F being how often the context is followed, plus
+D * U / F * p, U being how many different words follow it and p the probability after the context without its first word. A trie holds both
+parts for each entry. A pair's context is a word, whose count another shard knows, so a pair's own code is that of its count, and the block
+divides. D is near 1, so that a passage that the corpus has twice scores higher than one that it has once.
+
+Counts of words are exact 64-bit sums of 56-bit keys. A pair is known by 56 bits, a word after it by 40, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm import flat
+from lakeloom.llm import flat, trie
 from lakeloom.llm.langid import remainder
 from lakeloom.llm.packed import pack, unpack
-from lakeloom.llm.trie import Trie, after_one
+from lakeloom.llm.shared import saved
 
 ORDER = 3
 STRENGTH = 60.0
-SPARE_BITS = 14
-WORD_BITS = 56
+DISCOUNT = 0.97
+KEY_BITS = 56
+WORD_BYTES = 5
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 MOST_WORDS = 1 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
+_KEY_SHIFT, _WORD_SHIFT = np.uint64(64 - KEY_BITS), np.uint64(64 - 8 * WORD_BYTES)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,137 +58,224 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, places
 
 
-def histories(values: np.ndarray, places: np.ndarray, begin, order: int) -> list[np.ndarray]:
-    """The word one before, two before, ... of each token; begin before a row's first."""
-    out, last = [], values
-    for _ in range(order - 1):
-        before = np.empty_like(values)
-        before[1:] = last[:-1]
-        before[places[:-1]] = begin
-        out.append(before)
-        last = before
-    return out
-
-
-def keys_of(own: np.ndarray, places: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
-    """For each order the keys of the n-grams that end at each token."""
-    before = histories(own, places, BEGIN, order)
-    out = [own >> np.uint64(64 - WORD_BITS)]
-    with np.errstate(over="ignore"):
-        key = own
-        for n, history in enumerate(before, 2):
-            key = flat.mix(key * _STEP + history + np.uint64(n))
-            out.append(key >> np.uint64(64 - bits))
-    return out
-
-
-def _counts(values: np.ndarray) -> bytes:
-    """A byte a count; those from 255 on follow in four bytes each."""
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<u4").tobytes()
+def _small(values: np.ndarray) -> bytes:
+    """A byte a number; those from 255 on follow in eight bytes each."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
 
 
-def _counts_of(data: bytes, size: int) -> np.ndarray:
+def _numbers(data: bytes, size: int) -> np.ndarray:
     out = np.frombuffer(data, np.uint8, size).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u4", -1, size)
+    out[out == 255] = np.frombuffer(data, "<i8", -1, size)
     return out
 
 
-def _edges(parts: int, bits: int) -> np.ndarray:
-    return np.array([-(-(p << bits) // parts) for p in range(1, parts)], np.uint64)
-
-
-def _held(table: pa.Table) -> np.ndarray:
-    return table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-
-
-def _squeezed(rows: DataFrame) -> DataFrame:
-    """The rows with their texts as Zstandard frames, of which the shuffle moves less than of text."""
+def _edges(parts: int) -> np.ndarray:
+    return np.array([-(-(p << KEY_BITS) // parts) for p in range(1, parts)], np.uint64)
+
+
+class Grams:
+    """The distinct n-grams of a block as levels of a trie: pairs by their key, then (entry above, word) in order."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, places: np.ndarray, order: int):
+        """words: the block's distinct word hashes, ascending; ids: each token's place in them; places: where each row's tokens begin."""
+        pad, sizes = order - 1, np.diff(places)
+        self.hashes = np.append(words, BEGIN)
+        first = places[:-1] + np.arange(len(sizes)) * pad
+        self.row = np.repeat(np.arange(len(sizes)), sizes + pad)
+        local = np.arange(len(self.row)) - first[self.row]
+        left = (sizes + pad)[self.row] - local
+        self.token = np.flatnonzero(local >= pad)  # place of each token among its row's padded words
+        sequence = np.full(len(self.row), len(words), np.int64)
+        sequence[self.token] = ids
+        self.keys, self.above, self.word, self.entry, self.counted = np.zeros(0, np.uint64), [], [], [], []
+        for n in range(2, order + 1):
+            begins = np.flatnonzero(left >= n)
+            over = sequence[begins] if n == 2 else self.entry[-1][begins]
+            distinct, place = np.unique(over * len(self.hashes) + sequence[begins + n - 1], return_inverse=True)
+            above, word = distinct // len(self.hashes), distinct % len(self.hashes)
+            if n == 2:
+                with np.errstate(over="ignore"):
+                    key = flat.mix(self.hashes[above] * _STEP + self.hashes[word]) >> _KEY_SHIFT
+                by_key = np.argsort(key, kind="stable")
+                at = np.empty(len(key), np.int64)
+                at[by_key] = np.arange(len(key))
+                self.keys, above, word, place = key[by_key], above[by_key], word[by_key], at[place]
+            entry = np.full(len(self.row), -1)
+            entry[begins] = place
+            self.above.append(above)
+            self.word.append(word)
+            self.entry.append(entry)  # of the n-gram that begins at each padded word
+            self.counted.append((local >= order - 1 - n) & (left >= n))  # those that end before a row's first word count once a row
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, doc_ids, held, sizes, words, ids): the written blocks; sizes in tokens."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        codec = pa.Codec("zstd")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, squeeze = TaskContext.get().partitionId() << 32, pa.Codec("zstd")
         for batch in batches:
-            data, offsets = flat.flat(batch.column("text"))
-            frames = [codec.compress(data[a:b], asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "held_out", "block", "size", "frame"])
+            data, offsets = flat.flat(batch.column(2))
+            for low, high in flat.chunks(offsets, BLOCK_BYTES):
+                own, places = tokens(*flat.part(data, offsets, low, high))
+                words, ids = np.unique(own, return_inverse=True)
+                ids = ids.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()
+                one = pa.array([0, high - low], pa.int32())
+                columns = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(one, batch.column(0).slice(low, high - low)), pa.ListArray.from_arrays(one, batch.column(1).slice(low, high - low))]
+                columns += [pa.array([x], pa.binary()) for x in (np.diff(places).astype("<i8").tobytes(), words.astype("<u8").tobytes(), squeeze.compress(ids, asbytes=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "sizes", "words", "ids"])
+                block += 1
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "block", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, block int, size long, frame binary")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(flat.tidy(run), f"block long, doc_ids array<{kind}>, held array<boolean>, sizes binary, words binary, ids binary")
 
 
-def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The flat view of squeezed texts."""
-    codec, sizes = pa.Codec("zstd"), table.column("size").to_numpy()
-    parts = [codec.decompress(frame, size, asbytes=True) if size else b"" for frame, size in zip(table.column("frame").to_pylist(), sizes.tolist(), strict=True)]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, ids and places of a written block."""
+    words, sizes = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["sizes"], "<i8")
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    kind = np.dtype("<u2" if len(words) <= 1 << 16 else "<u4")
+    ids = np.frombuffer(pa.Codec("zstd").decompress(row["ids"], int(places[-1]) * kind.itemsize, asbytes=True), kind)
+    return words, ids.astype(np.int64), places
 
 
-def _asked(texts: DataFrame, parts: int, order: int, bits: int) -> DataFrame:
-    """(block, part, n, keys, counts): each block's distinct n-grams and their training counts."""
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(n)[k].as_py() for n, name in enumerate(batch.schema.names)}
 
-    def run(docs: pa.Table) -> pa.Table:
-        own, places = tokens(*_texts(docs))
-        held = np.repeat(_held(docs), np.diff(places)).astype(np.uint64)
-        out: dict[str, list] = {"part": [], "n": [], "keys": [], "counts": []}
-        for n, keys in enumerate(keys_of(own, places, order, bits), 1):
-            both = np.sort(keys << np.uint64(1) | held)
-            keys = both >> np.uint64(1)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            counts = np.add.reduceat(1 - (both & np.uint64(1)).astype(np.int64), first)
-            keys = keys[first]
-            at = np.concatenate([[0], np.searchsorted(keys, _edges(parts, WORD_BITS if n == 1 else bits)), [len(keys)]])
-            for p in np.flatnonzero(np.diff(at)):
-                out["part"].append(int(p))
-                out["n"].append(n)
-                out["keys"].append(pack(keys[at[p] : at[p + 1]]))
-                out["counts"].append(_counts(counts[at[p] : at[p + 1]]))
-        block = docs.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(out["n"]), pa.int32()), "part": pa.array(out["part"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
-    return texts.groupBy("block").applyInArrow(run, "block int, part int, n int, keys binary, counts binary")
+def _asked(blocks: DataFrame, parts: int, order: int) -> DataFrame:
+    """(block, part, entries, words, pairs, kids, below, counts): each block's distinct n-grams by shard, with their training counts.
 
+    entries: how many words, pairs, and n-grams of each further level; kids: how many each n-gram has below it; below: the last words.
+    """
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """(block, part, n, counts): the corpus counts of what each block asked for, in its order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(parts)
+        for row in _each(batches):
+            words, ids, places = _opened(row)
+            grams = Grams(words, ids, places, order)
+            taught = ~np.array(row["held"], bool)
+            counts = [np.bincount(ids[np.repeat(taught, np.diff(places))], minlength=len(words))]
+            taught = taught[grams.row]
+            counts += [np.bincount(entry[counted & taught], minlength=len(above)) for entry, counted, above in zip(grams.entry, grams.counted, grams.above, strict=True)]
+            short = words >> _KEY_SHIFT
+            last = np.ascontiguousarray((grams.hashes >> _WORD_SHIFT).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+            # Where each shard's slice of each level begins: what lies below a slice is a slice.
+            cuts = [np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])]
+            if order > 1:
+                cuts.append(np.concatenate([[0], np.searchsorted(grams.keys, edges), [len(grams.keys)]]))
+            cuts += [np.zeros(0, np.int64)] * (order - 2)
+            kids = []
+            for n in range(2, order):
+                cuts[n] = np.searchsorted(grams.above[n - 1], cuts[n - 1])
+                kids.append(np.bincount(grams.above[n - 1], minlength=len(grams.above[n - 2])))
+            sent = np.diff(np.array(cuts), axis=1)
+            out: dict[str, list] = {k: [] for k in ("part", "entries", "words", "pairs", "kids", "below", "counts")}
+            for p in np.flatnonzero(sent.sum(0)):
+                at = [slice(c[p], c[p + 1]) for c in cuts]
+                values = (int(p), sent[:, p].astype("<i8").tobytes(), pack(short[at[0]]), pack(grams.keys[at[1]]) if order > 1 else b"", _small(np.concatenate([k[a] for k, a in zip(kids, at[1:], strict=False)])) if kids else b"", b"".join(last[grams.word[n - 1][at[n]]].tobytes() for n in range(2, order)), _small(np.concatenate([c[a] for c, a in zip(counts, at, strict=True)])))
+                for name, value in zip(out, values, strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(out["part"]), pa.int64()), pa.array(out["part"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in out.items() if k != "part")], ["block", *out])
+
+    return blocks.mapInArrow(flat.tidy(run), "block long, part int, entries binary, words binary, pairs binary, kids binary, below binary, counts binary")
+
+
+def shard(roots: np.ndarray, root_counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray, discount: float) -> trie.Trie:
+    """The trie of the n-grams that the training texts have, from distinct ascending ones. Its codes: of each level's own parts, then of the rests that each level but the last leaves to shorter contexts.
+
+    levels: (entry above, place in words, count) for each level below the first.
+    """
+    kept = np.flatnonzero(root_counts > 0)
+    own, rests, made, size = [trie.quantised(root_counts[kept].astype(np.float64))], [], [], len(kept)
+    at = np.full(len(roots), -1)
+    at[kept] = np.arange(size)
+    for above, word, count in levels:
+        some = np.flatnonzero(count > 0)
+        context = at[above[some]]
+        follow = np.bincount(context, count[some], size)
+        made.append((context, word[some]))
+        own.append(trie.quantised((count[some] - discount) / follow[context]))
+        rests.append(trie.quantised(np.where(follow > 0, discount * np.bincount(context, minlength=size) / np.maximum(follow, 1), 1.0)))
+        size = len(some)
+        at = np.full(len(above), -1)
+        at[some] = np.arange(size)
+    return trie.Trie(roots[kept], words, made, own + rests)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, where each value stands among them, and the sums of the counts."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, place, counts)
+    return distinct, place, total
+
+
+def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
+    """(block, part, counts, codes): the corpus counts of the words that each block sent, and the codes of its n-grams, in the order of sending."""
 
     def run(table: pa.Table) -> pa.Table:
-        orders, sums = table.column("n").to_numpy(), [b""] * table.num_rows
-        for n in np.unique(orders):
-            rows = np.flatnonzero(orders == n)
-            keys = [unpack(table.column("keys")[int(k)].as_py()) for k in rows]
-            counts = np.concatenate([_counts_of(table.column("counts")[int(k)].as_py(), len(own)) for k, own in zip(rows, keys, strict=True)])
-            ends = np.cumsum([len(k) for k in keys])
-            keys = np.concatenate(keys)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            total = np.add.reduceat(counts[order], first)
-            out = np.empty(len(keys), np.int64)
-            out[order] = np.repeat(total, np.diff(np.append(first, len(keys))))
-            for k, piece in zip(rows, np.split(out, ends[:-1]), strict=True):
-                sums[k] = _counts(piece)
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "n": table.column("n"), "counts": pa.array(sums, pa.binary())})
-
-    return asked.groupBy("part").applyInArrow(run, "block int, part int, n int, counts binary")
-
-
-def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
+        rows = table.num_rows
+        sent = np.stack([np.frombuffer(x, "<i8") for x in table.column("entries").to_pylist()])
+        counted = [_numbers(x, int(n)) for x, n in zip(table.column("counts").to_pylist(), sent.sum(1), strict=True)]
+        counts = [np.concatenate([c[a:b] for c, a, b in zip(counted, sent[:, :n].sum(1), sent[:, : n + 1].sum(1), strict=True)]) for n in range(order)]
+        del counted
+        _, place, total = _summed(np.concatenate([unpack(x) for x in table.column("words").to_pylist()]), counts[0])
+        told = np.split(total[place], np.cumsum(sent[:-1, 0]))
+        codes: list[list[np.ndarray]] = []
+        if order > 1:
+            roots, entry, root_counts = _summed(np.concatenate([unpack(x) for x in table.column("pairs").to_pylist()]), counts[1])
+            entries, levels = [entry], []
+            kids = [_numbers(x, int(n)) for x, n in zip(table.column("kids").to_pylist(), sent[:, 1 : order - 1].sum(1), strict=True)]
+            below = [np.frombuffer(x, np.uint8).reshape(-1, WORD_BYTES) for x in table.column("below").to_pylist()]
+            wide = np.zeros((int(sent[:, 2:].sum()), 8), np.uint8)
+            wide[:, :WORD_BYTES] = np.concatenate(below)
+            words, word = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+            word = np.split(word, np.cumsum(sent[:-1, 2:].sum(1)))
+            for n in range(2, order):
+                a, b = sent[:, 1 : n - 1].sum(1), sent[:, 1:n].sum(1)
+                above = np.repeat(entry, np.concatenate([k[x:y] for k, x, y in zip(kids, a, b, strict=True)]))
+                a, b = sent[:, 2:n].sum(1), sent[:, 2 : n + 1].sum(1)
+                own = np.concatenate([w[x:y] for w, x, y in zip(word, a, b, strict=True)])
+                distinct, entry, total = _summed(above * np.int64(max(1, len(words))) + own, counts[n])
+                entries.append(entry)
+                levels.append((distinct // max(1, len(words)), distinct % max(1, len(words)), total))
+            del kids, below, wide, word
+            model = shard(roots, root_counts, levels, words, discount)
+            # Every distinct n-gram that was sent is searched, context after context.
+            at = model.root(roots)
+            found = [at]
+            for n, (above, own, _) in enumerate(levels):
+                at = model.below(n, at[above], model.word(words)[own])
+                found.append(at)
+            for level, held in enumerate(model.codes):
+                n = level % (order - 1)  # own parts of all levels, then rests of all but the last
+                code = np.zeros(len(found[n]), np.uint16)
+                code[found[n] >= 0] = held[found[n][found[n] >= 0]]
+                codes.append(np.split(code[entries[n]], np.cumsum(sent[:-1, n + 1])))
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([_small(x) for x in told], pa.binary()), "codes": pa.array([b"".join(c[k].astype("<u2").tobytes() for c in codes) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
+
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, counts binary, codes binary, entries binary")
+
+
+def _vocabulary(blocks: DataFrame, parts: int) -> tuple[int, int]:
     """Training tokens, and distinct ones, over the corpus."""
 
     def packed(keys: np.ndarray, total: int) -> pa.RecordBatch:
-        pieces = np.split(keys, np.searchsorted(keys, _edges(parts, WORD_BITS)))
+        pieces = np.split(keys, np.searchsorted(keys, _edges(parts)))
         some = [p for p in range(parts) if len(pieces[p])]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total] + [0] * (len(some) - 1), pa.int64()), pa.array([pack(pieces[p]) for p in some], pa.binary())], ["part", "tokens", "keys"])
 
     def send(batches):
         known, total = np.zeros(0, np.uint64), 0
-        for batch in batches:
-            data, offsets = flat.flat(batch.column(0))
-            for low, high in flat.chunks(offsets):
-                own, _ = tokens(*flat.part(data, offsets, low, high))
-                known, total = np.union1d(known, own >> np.uint64(64 - WORD_BITS)), total + len(own)
-                if len(known) > MOST_WORDS:  # what a task holds stays bounded
-                    yield packed(known, total)
-                    known, total = np.zeros(0, np.uint64), 0
+        for row in _each(batches):
+            words, ids, places = _opened(row)
+            taught = np.bincount(ids[np.repeat(~np.array(row["held"], bool), np.diff(places))], minlength=len(words))
+            known, total = np.union1d(known, words[taught > 0] >> _KEY_SHIFT), total + int(taught.sum())
+            if len(known) > MOST_WORDS:  # what a task holds stays bounded
+                yield packed(known, total)
+                known, total = np.zeros(0, np.uint64), 0
         if total:
             yield packed(known, total)
 
@@ -185,53 +283,32 @@ def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
         keys = np.concatenate([unpack(k) for k in table.column("keys").to_pylist()])
         return pa.table({"tokens": pa.array([int(table.column("tokens").to_numpy().sum())]), "words": pa.array([len(np.unique(keys))])})
 
-    sent = texts.filter("not held_out").select("text").mapInArrow(send, "part int, tokens long, keys binary")
+    sent = blocks.select("held", "sizes", "words", "ids").mapInArrow(flat.tidy(send), "part int, tokens long, keys binary")
     row = sent.groupBy("part").applyInArrow(count, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     return row[0] or 0, row[1] or 0
 
 
-def block_trie(own: np.ndarray, places: np.ndarray, counts: list[np.ndarray], total: int, words: int, strength: float = STRENGTH) -> tuple[Trie, np.ndarray, int]:
-    """The trie of a block's n-grams that the training corpus has, the ids of its tokens, and the id that stands before a text.
-
-    counts: for each order, the corpus count of the n-gram that ends at each token.
-    """
-    order = len(counts)
-    vocabulary, first, ids = np.unique(own, return_index=True, return_inverse=True)
-    known = counts[0][first] > 0
-    ids = np.where(known, np.cumsum(known) - 1, -1)[ids]
-    size = int(known.sum())
-    begin = size  # an id of its own, that is only ever a context
-    seen = counts[0][first][known].astype(np.float64)
-    at_end = np.searchsorted(vocabulary, END)
-    starts = float(counts[0][first][at_end]) if at_end < len(vocabulary) and vocabulary[at_end] == END else 0.0
-    chance = np.append((seen + 1) / (total + words + 1), 1.0)
-    times = np.append(seen, starts)  # how often each context of this order is followed
-    chances, backoffs, levels = [np.log10(chance)], [], []
-    lower = np.where(ids >= 0, chance[np.maximum(ids, 0)], 1 / (total + words + 1))  # of each token, by the order below
-    entries, before = ids, begin  # of each token in the order below, and of what stands before a text
-    for n in range(2, order + 1):
-        context = after_one(entries, places, before)
-        backoffs.append(np.log10(strength / (times + strength)))
-        here = np.where(context >= 0, times[np.maximum(context, 0)], 0.0)
-        value = (counts[n - 1] + strength * lower) / (here + strength)
-        kept = np.flatnonzero((counts[n - 1] > 0) & (context >= 0) & (ids >= 0))
-        pair = context[kept] * (size + 1) + ids[kept]
-        if n < order:  # what stands before a text is a context too
-            pair = np.append(pair, before * (size + 1) + begin)
-        pair, at, place = np.unique(pair, return_index=True, return_inverse=True)
-        real = at < len(kept)
-        level_chance, times = np.ones(len(pair)), np.full(len(pair), starts)
-        level_chance[real], times[real] = value[kept[at[real]]], counts[n - 1][kept[at[real]]]
-        chances.append(np.log10(np.minimum(level_chance, 1.0)))
-        levels.append((pair // (size + 1), pair % (size + 1)))
-        lower = value
-        entries = np.full(len(ids), -1)
-        entries[kept] = place[: len(kept)]
-        before = int(place[-1]) if n < order else -1
-    return Trie(size + 1, levels, chances, backoffs), ids, begin
-
-
-def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out: Column | None = None, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
+def block_scores(grams: Grams, ids: np.ndarray, places: np.ndarray, counts: np.ndarray, own: list[np.ndarray], rests: list[np.ndarray], total: int, words: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each token by single words, and by the model. counts: of the block's words; own, rests: codes of each level of its n-grams."""
+    seen = counts[ids].astype(np.float64)
+    chance = (seen + 1) / (total + words + 1)
+    base = np.log10(chance)
+    ends = np.searchsorted(grams.hashes[:-1], END)
+    starts = counts[ends] if ends < len(counts) and grams.hashes[ends] == END else 0  # rows that taught
+    before = np.append(starts, seen[:-1]) if len(seen) else seen
+    before[places[:-1]] = starts
+    for n, (code, entry) in enumerate(zip(own, grams.entry, strict=True)):
+        at = entry[grams.token - (n + 1)]
+        if n == 0:
+            chance = (trie.counts(code)[at] + strength * chance) / (before + strength)
+        else:
+            rest = rests[n - 1]
+            left = np.where(rest > 0, trie.shares(rest), 1.0)[grams.above[n]]  # a context that no training text has leaves all
+            chance = trie.shares(code)[at] + left[at] * chance
+    return base, np.log10(np.minimum(chance, 1.0))
+
+
+def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out: Column | None = None, order: int = ORDER, strength: float = STRENGTH, discount: float = DISCOUNT) -> DataFrame:
     """log10 probability of each row's whole text under the n-gram model, and under the base of single words.
 
     Learns from rows that aren't held_out (by default those whose crc32(identifier as text) mod 7 is not 2). Words are runs outside
@@ -241,30 +318,27 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     held = F.coalesce(held_out if held_out is not None else remainder(F.col(id_column), 7) == 2, F.lit(False))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
-    blocks, parts = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / PART_BYTES))
-    bits = min(62, max(40, (size // 6 + 1).bit_length() + SPARE_BITS))
-    total, words = _vocabulary(rows, parts)
-    texts = _squeezed(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")))
-    answers = _answered(_asked(texts, parts, order, bits))
     kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(table: pa.Table, answer: pa.Table) -> pa.Table:
-        own, places = tokens(*_texts(table))
-        pieces = answer.sort_by([("n", "ascending"), ("part", "ascending")])
-        orders, asked_of, counts = pieces.column("n").to_numpy(), pieces.column("part").to_numpy(), []
-        for n, keys in enumerate(keys_of(own, places, order, bits), 1):
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            ends = np.append(np.searchsorted(distinct, _edges(parts, WORD_BITS if n == 1 else bits)), len(distinct))
-            sizes = np.diff(ends, prepend=0)
-            sums = np.concatenate([_counts_of(pieces.column("counts")[int(k)].as_py(), int(sizes[asked_of[k]])) for k in np.flatnonzero(orders == n)])
-            assert len(distinct) == len(sums), "the block's texts are not those that asked"
-            counts.append(sums[inverse])
-        trie, ids, begin = block_trie(own, places, counts, total, words, strength)
-        score = trie.scores(ids, places, begin, -math.log10(total + words + 1))
-        base = np.log10((counts[0] + 1) / (total + words + 1))
-        known = np.add.reduceat((counts[0] > 0).astype(np.int64), places[:-1])
-        columns = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(places)), pa.array(known), pa.array(np.full(table.num_rows, total, np.int64)), pa.array(np.add.reduceat(base, places[:-1])), pa.array(np.add.reduceat(score, places[:-1]))]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = saved(_blocks(rows), "lm-blocks")
+    # Shards by the written tokens: a text of so many bytes has about a sixth as many.
+    size = blocks.agg(F.sum(F.octet_length("ids") + F.octet_length("words"))).first()[0] or 0
+    parts = max(1, math.ceil(4 * size / PART_BYTES))
+    total, words = _vocabulary(blocks, parts)
+    answers = _answered(_asked(blocks, parts, order), order, discount)
+
+    def run(block: pa.Table, answer: pa.Table) -> pa.Table:
+        row = {name: block.column(name)[0].as_py() for name in ("words", "sizes", "ids")}
+        known, ids, places = _opened(row)
+        grams = Grams(known, ids, places, order)
+        pieces = answer.sort_by("part")
+        sent = np.stack([np.frombuffer(x, "<i8") for x in pieces.column("entries").to_pylist()])
+        counts = np.concatenate([_numbers(x, int(n)) for x, n in zip(pieces.column("counts").to_pylist(), sent[:, 0], strict=True)])
+        told = [np.frombuffer(x, "<u2") for x in pieces.column("codes").to_pylist()]
+        sizes = np.concatenate([sent[:, 1:], sent[:, 1:-1]], axis=1)
+        codes = [np.concatenate([c[a:b] for c, a, b in zip(told, sizes[:, :n].sum(1), sizes[:, : n + 1].sum(1), strict=True)]) for n in range(sizes.shape[1])]
+        base, score = block_scores(grams, ids, places, counts, codes[: order - 1], codes[order - 1 :], total, words, strength)
+        out = [pa.array(np.diff(places)), pa.array(np.add.reduceat((counts[ids] > 0).astype(np.int64), places[:-1])), pa.array(np.full(len(places) - 1, total, np.int64)), pa.array(np.add.reduceat(base, places[:-1])), pa.array(np.add.reduceat(score, places[:-1]))]
+        ids_, held_ = (block.column(c).combine_chunks().flatten() for c in ("doc_ids", "held"))
+        return pa.table([ids_, held_, *out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,9 +2,9 @@
 
 A level holds, context after context, the ascending ids of the words that follow each context. Ids are made one monotone sequence by
 adding what the ranges before have reached, so the sequence, and the pointers that bound the ranges, are Elias-Fano coded: low bits
-packed, high bits in unary. A word is searched relative to its context: from the context's range, and what the ranges before reached,
-follow the value that it must have and the places where it may stand. Probabilities and backoff weights are 16-bit codes on an even
-scale between their extremes.
+packed, high bits in unary. No level is ever decoded: a place is read by a select of its high bit, and a word is searched relative to its
+context, as the successor of what the ranges before reached plus its id, by a select of the high part's bucket and a binary search over
+the low bits of that bucket. Searches come in batches and are array operations. Values are 16-bit codes of logarithms.
 """
 
 from __future__ import annotations
@@ -13,11 +13,48 @@ import mmap
 
 import numpy as np
 
-CODES = (1 << 16) - 1
+STEP = 16 / 65534  # decimal digits a code; a logarithm of up to 16 digits, whatever its sign
+_ONE = np.uint64(1)
+
+
+def quantised(values: np.ndarray) -> np.ndarray:
+    """16-bit codes of the logarithms of positive values all at most 1, or all at least 1; 0 stands for none (a value of 0)."""
+    with np.errstate(divide="ignore"):
+        digits = np.abs(np.log10(values))
+    return np.where(values > 0, np.minimum(np.rint(digits / STEP), 65534) + 1, 0).astype(np.uint16)
+
+
+def shares(codes: np.ndarray) -> np.ndarray:
+    """The values, at most 1, that codes stand for."""
+    return np.where(codes > 0, 10.0 ** (-STEP * (codes - 1.0)), 0.0)
+
+
+def counts(codes: np.ndarray) -> np.ndarray:
+    """The values, at least 1, that codes stand for."""
+    return np.where(codes > 0, 10.0 ** (STEP * (codes - 1.0)), 0.0)
+
+
+def _or_by_word(out: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
+    """out[word] |= bits for ascending words."""
+    if len(word):
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] |= np.bitwise_or.reduceat(bits, first)
+
+
+def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the set bit of each word that has `rank` set bits below it."""
+    word, rank, at = word.copy(), rank.astype(np.int64), np.zeros(len(word), np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+        beyond = rank >= below
+        rank -= below * beyond
+        at += width * beyond
+        word >>= (width * beyond).astype(np.uint64)
+    return at
 
 
 def elias_fano(values: np.ndarray) -> list[np.ndarray]:
-    """[count and low width, low bits, high bits] of an ascending sequence."""
+    """[count, low width and highest high part; low bits; high bits; set bits before each word of these] of an ascending sequence."""
     n = len(values)
     top = int(values[-1]) if n else 0
     width = max(0, (top // n).bit_length() - 1) if n else 0
@@ -32,115 +69,128 @@ def elias_fano(values: np.ndarray) -> list[np.ndarray]:
         _or_by_word(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
     high = np.zeros((n + (top >> width)) // 64 + 2, np.uint64)
     at = (values >> np.uint64(width)) + np.arange(n, dtype=np.uint64)
-    _or_by_word(high, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return [np.array([n, width], np.uint64), low, high]
+    _or_by_word(high, (at >> np.uint64(6)).astype(np.int64), _ONE << (at & np.uint64(63)))
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))[:-1]])
+    return [np.array([n, width, top >> width], np.int64), low, high, ones]
 
 
-def _or_by_word(out: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
-    """out[word] |= bits for ascending words."""
-    if len(word):
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out[word[first]] |= np.bitwise_or.reduceat(bits, first)
+class Sequence:
+    """Reads and searches of an Elias-Fano coded ascending sequence."""
 
+    def __init__(self, parts: list[np.ndarray]):
+        (self.size, self.width, self.top), self.low, self.high, self.ones = map(int, parts[0]), *parts[1:]
+        self.zeros = np.arange(len(self.high), dtype=np.int64) * 64 - self.ones
 
-def decoded(sequence: list[np.ndarray]) -> np.ndarray:
-    """The values of a sequence, all at once."""
-    (n, width), low, high = sequence
-    n, width = int(n), int(width)
-    at = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little"))[:n]
-    values = (at - np.arange(n)).astype(np.uint64) << np.uint64(width)
-    if width and n:
-        bit = np.arange(n, dtype=np.uint64) * np.uint64(width)
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        bit = at.astype(np.uint64) * np.uint64(self.width)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        part = low[word] >> shift
-        over = shift > np.uint64(64 - width)
-        part[over] |= low[word[over] + 1] << (np.uint64(64) - shift[over])
-        values |= part & np.uint64((1 << width) - 1)
-    return values.astype(np.int64)
-
-
-def quantised(values: np.ndarray) -> list[np.ndarray]:
-    """[lowest and step, 16-bit codes]."""
-    low = float(values.min()) if len(values) else 0.0
-    step = (float(values.max()) - low) / CODES if len(values) else 0.0
-    return [np.array([low, step]), np.rint((values - low) / step if step else np.zeros(len(values))).astype(np.uint16)]
-
+        value = self.low[word] >> shift
+        over = np.flatnonzero(shift > np.uint64(64 - self.width))
+        value[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
+        return value & np.uint64((1 << self.width) - 1)
+
+    def read(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        word = np.searchsorted(self.ones, at, "right") - 1
+        place = word * 64 + _select(self.high[word], at - self.ones[word])
+        return ((place - at).astype(np.uint64) << np.uint64(self.width)) | self._low(at)
+
+    def _before(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part below each of these: the set bits before the zero that closes the bucket before."""
+        out = np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        zero = high[some] - 1
+        word = np.searchsorted(self.zeros, zero, "right") - 1
+        place = word * 64 + _select(~self.high[word], zero - self.zeros[word])
+        out[some] = place - zero
+        return out
 
-def value_of(codes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    return codes[0][0] + codes[0][1] * codes[1][at]
+    def successor(self, wanted: np.ndarray) -> np.ndarray:
+        """The first place whose value is at least this; the sequence's size where there is none."""
+        if not self.size:
+            return np.zeros(len(wanted), np.int64)
+        wanted = wanted.astype(np.uint64)
+        high = wanted >> np.uint64(self.width)
+        beyond = high > np.uint64(self.top)
+        high = np.minimum(high, np.uint64(self.top)).astype(np.int64)
+        at, end = self._before(high), self._before(high + 1)
+        low = wanted & np.uint64((1 << self.width) - 1)
+        stop = end.copy()
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):  # as many turns as the largest bucket has bits in its size
+            middle = (at[open_] + stop[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            at[open_] = np.where(less, middle + 1, at[open_])
+            stop[open_] = np.where(less, stop[open_], middle)
+            open_ = open_[at[open_] < stop[open_]]
+        return np.where(beyond, self.size, at)
 
 
 class Trie:
     """Levels of words by context. Entry k of a level is the context of range k of the next one."""
 
-    def __init__(self, words: int, levels: list[tuple[np.ndarray, np.ndarray]], chances: list[np.ndarray], backoffs: list[np.ndarray]):
-        """levels: for order 2 and up, (context entry, word id) ascending; chances and backoffs: log10, for each order's entries."""
-        parts: list[list[np.ndarray]] = [quantised(x) for x in chances] + [quantised(x) for x in backoffs]
-        contexts = words
+    def __init__(self, roots: np.ndarray, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], codes: list[np.ndarray]):
+        """roots: ascending keys of the first level; words: ascending keys of the words below it; levels: (context entry, place of the word in
+        words), ascending, for each level below the first; codes: of each level's entries."""
+        parts = [elias_fano(roots), elias_fano(words)]
+        contexts = len(roots)
         for context, word in levels:
             pointers = np.searchsorted(context, np.arange(contexts + 1))
             last = np.flatnonzero(np.diff(np.append(context, -1)) != 0)
-            reached = np.zeros(len(context), np.int64)
-            if len(context):
-                ends = np.cumsum(word[last] + 1)
-                size = np.diff(np.concatenate([[-1], last]))
-                reached = np.repeat(ends - (word[last] + 1), size)
+            ends = np.cumsum(word[last] + 1)
+            reached = np.repeat(ends - (word[last] + 1), np.diff(np.concatenate([[-1], last])))
             parts += [elias_fano(pointers), elias_fano(reached + word + 1)]
             contexts = len(context)
-        self._map(parts)
-        n = len(chances)
-        self.chances, self.backoffs, rest = self.parts[:n], self.parts[n : n + len(backoffs)], self.parts[n + len(backoffs) :]
+        views = self._map([*parts, *([c] for c in codes)])
+        self.roots, self.words, *rest = map(Sequence, views[: len(parts)])
         self.levels = list(zip(rest[::2], rest[1::2], strict=True))
+        self.codes = [v[0] for v in views[len(parts) :]]
 
-    def _map(self, parts: list[list[np.ndarray]]) -> None:
-        """Moves the arrays into one anonymous memory map."""
-        size = sum(-(-a.nbytes // 8) * 8 for part in parts for a in part)
-        self.bytes, self.map = size, mmap.mmap(-1, max(size, 1))
-        at, self.parts = 0, []
+    def _map(self, parts: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """The arrays, moved into one anonymous memory map."""
+        self.bytes = sum(-(-a.nbytes // 8) * 8 for part in parts for a in part)
+        self.map, at, out = mmap.mmap(-1, max(self.bytes, 1)), 0, []
         for part in parts:
-            views = []
+            out.append([])
             for a in part:
                 view = np.frombuffer(self.map, a.dtype, a.size, at)
                 view[:] = a
-                views.append(view)
+                out[-1].append(view)
                 at += -(-a.nbytes // 8) * 8
-            self.parts.append(views)
-
-    def successors(self, order: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Entries of the order for (context entry of the order below, word id), -1 where there is none; a context may be -1."""
-        pointers, values = map(decoded, self.levels[order - 2])
-        if not len(values):
-            return np.full(len(words), -1)
-        low, high = pointers[contexts], pointers[np.minimum(contexts + 1, len(pointers) - 1)]
-        reached = np.where(low > 0, values[np.maximum(low - 1, 0)], 0)
-        wanted = reached + words + 1
-        at = np.searchsorted(values, wanted)
-        found = (contexts >= 0) & (words >= 0) & (at < high) & (values[np.minimum(at, len(values) - 1)] == wanted)
-        return np.where(found, at, -1)
-
-    def scores(self, words: np.ndarray, places: np.ndarray, begin: int, unknown: float) -> np.ndarray:
-        """log10 probability of each word after those before it in its row; ids are -1 where unknown, rows begin at places, after words `begin`.
-
-        The entry of a word in one level is the context of the next word in the level below it.
-        """
-        known = words >= 0
-        out = np.where(known, value_of(self.chances[0], np.maximum(words, 0)), unknown)
-        entries, first = words, begin
-        for order in range(2, len(self.chances) + 1):
-            context = after_one(entries, places, first)
-            entries = self.successors(order, context, words)
-            backed = out + np.where(context >= 0, value_of(self.backoffs[order - 2], np.maximum(context, 0)), 0.0)
-            found = np.flatnonzero(entries >= 0)
-            backed[found] = value_of(self.chances[order - 1], entries[found])
-            out = backed
-            if order < len(self.chances):
-                first = int(self.successors(order, np.array([first]), np.array([begin]))[0])
         return out
 
+    @staticmethod
+    def _found(sequence: Sequence, keys: np.ndarray) -> np.ndarray:
+        at = sequence.successor(keys)
+        some = np.flatnonzero(at < sequence.size)
+        out = np.full(len(keys), -1)
+        same = some[sequence.read(at[some]) == keys[some].astype(np.uint64)]
+        out[same] = at[same]
+        return out
 
-def after_one(values: np.ndarray, places: np.ndarray, first: int) -> np.ndarray:
-    """Each row's values one place later; first stands at its start."""
-    out = np.empty_like(values)
-    out[1:] = values[:-1]
-    out[places[:-1]] = first
-    return out
+    def root(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of the first level with these keys, -1 where there is none."""
+        return self._found(self.roots, keys)
+
+    def word(self, keys: np.ndarray) -> np.ndarray:
+        """Places of these words, -1 where the trie has none such below its first level."""
+        return self._found(self.words, keys)
+
+    def below(self, level: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Entries of a level (0 is the one below the first) for (context entry of the level above, place of the word); -1 where there is none, or where either is -1."""
+        pointers, values = self.levels[level]
+        out = np.full(len(words), -1)
+        some = np.flatnonzero((contexts >= 0) & (words >= 0))
+        low, high = pointers.read(contexts[some]).astype(np.int64), pointers.read(contexts[some] + 1).astype(np.int64)
+        some, low, high = some[low < high], low[low < high], high[low < high]
+        reached = np.zeros(len(some), np.uint64)
+        after = np.flatnonzero(low > 0)
+        reached[after] = values.read(low[after] - 1)
+        wanted = reached + words[some].astype(np.uint64) + _ONE
+        at = values.successor(wanted)
+        here = np.flatnonzero(at < high)
+        same = here[values.read(at[here]) == wanted[here]]
+        out[some[same]] = at[same]
+        return out
