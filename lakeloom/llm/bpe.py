@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, pretokens
 
-MEMO_ENTRIES = 250_000
+#: What a worker's memos may hold; they are emptied beyond.
+MEMO_BYTES = 12 << 20
+ENTRY_BYTES = 160  # of a dictionary's place, key and value, besides a piece's bytes and ids
+LONGEST_KEPT = 32
 
 
 class Codec:
@@ -39,8 +43,9 @@ class Codec:
         self.tree.make_automaton()
         self.halves = {rank: self._split(token) for token, rank in self.ranks.items()}
         self.shorter = {rank: self._prefix(token) for token, rank in self.ranks.items()}
-        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.fits_memo: dict[int, bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0  # bytes of memo
 
     def _prefix(self, token: bytes) -> int:
         """The longest token that is a proper prefix, or -1."""
@@ -61,11 +66,12 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' bytes leaves these two tokens; remembered for each pair."""
-        known = self.fits_memo.get((left, right))
+        pair = left << 32 | right
+        known = self.fits_memo.get(pair)
         if known is None:
-            if len(self.fits_memo) > MEMO_ENTRIES:
+            if len(self.fits_memo) * ENTRY_BYTES > MEMO_BYTES:
                 self.fits_memo.clear()
-            known = self.fits_memo[left, right] = self._fits(left, right)
+            known = self.fits_memo[pair] = self._fits(left, right)
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -126,16 +132,19 @@ class Codec:
         ids = self.memo.get(piece)
         if ids is None:
             ids = self.encode_piece(piece)
-            if len(piece) <= 32:
-                if len(self.memo) > MEMO_ENTRIES:
+            if len(piece) <= LONGEST_KEPT:
+                if self.held > MEMO_BYTES:
                     self.memo.clear()
+                    self.held = 0
                 self.memo[piece] = ids
+                self.held += ENTRY_BYTES + len(piece) + 8 * len(ids)
         return ids
 
     def forget(self) -> None:
         """Empties the memos."""
         self.memo.clear()
         self.fits_memo.clear()
+        self.held = 0
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -182,8 +191,9 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         back = [hashlib.sha256(decoded[to[a] : to[b]]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         out = [pa.array(n), pa.array(ids, pa.string()), pa.array(back, pa.string())]
         if with_ids:
-            flat_ids = pa.array([np.array(x, np.int32) for x in encoded], pa.list_(pa.int32()))
-            values = pc.take(flat_ids, pa.array(codes)).flatten() if len(codes) else pa.array([], pa.int32())
+            every = np.fromiter(itertools.chain.from_iterable(encoded), np.int32)
+            ends = np.cumsum([0, *map(len, encoded)])
+            values = pc.take(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every)), pa.array(codes)).flatten() if len(codes) else pa.array([], pa.int32())
             out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values))
         return out
 
