@@ -1,13 +1,14 @@
 """Language identification by prediction by partial matching over byte contexts.
 
-Each language has a tree of byte contexts of order 0 to 3, kept where the training texts show them often enough. In a context a
-byte that was seen has n / (N + U) of the probability, for N occurrences and U distinct bytes; the rest, U / (N + U), escapes to
-the next shorter context, shared among the bytes that the longer one never saw (exclusion). Below order 0 all symbols are alike.
-The statistics are frozen after training, so the code length of every symbol in every kept context is a table, and a text's code
-length in a language is a sum over all of its bytes. The shortest code wins.
-
-The model is fitted on a sample of at most about TRAIN_ROWS texts a language and has at most MOST_NODES contexts, so what is
-broadcast is bounded whatever the input.
+Each language has its own tree of byte contexts of order 0 to 3: all that its training texts show LEAST_COUNT times. In a context a byte
+that was seen has n / (N + U) of the probability, for N occurrences and U distinct bytes; the rest, U / (N + U), escapes to the next
+shorter context, shared among the bytes that the longer one never saw (exclusion). Below order 0 all 256 bytes are alike. The statistics
+are frozen after training, so an escape is a number of bits that a context adds, and a byte in a context that saw it another: a text's
+code length in a language is a sum over all of its bytes, of the longest context that saw the byte and the escapes from those longer.
+The shortest code wins.
+
+A language is learned on the executors, from a sample of about TRAIN_ROWS texts, each of samples.TEXT_CHARS characters at most; so its
+tree has a bounded size, whatever the input, and does not depend on the other languages.
 """
 
 from __future__ import annotations
@@ -21,158 +22,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, pretokens
+from lakeloom.llm.samples import remainder, training_sample
 
 TRAIN_ROWS = 400
-MOST_LANGUAGES = 256
-MOST_NODES = 8192
-MOST_CELLS = 1 << 25
-LEAST_COUNT = 8
+LEAST_COUNT = 4
 ORDER = 3
-SYMBOLS = 128  # 0 stands before a text's first byte, 127 for all bytes that have no symbol of their own
+TOGETHER = 8  # languages whose trees share an index, so that a byte is looked up once for all of them
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 
 
 @dataclass
-class Statistics:
-    """Frozen counts, from which the tables are made again wherever they are needed."""
+class Tree:
+    """A language's frozen statistics. A context's key is its bytes as a number, the last byte lowest; a pair's is the context's and the byte's."""
 
-    languages: list[str]
-    symbol: np.ndarray  # of each byte
-    shared: int  # bytes of the last symbol
-    kept: np.ndarray  # rows: order and symbols of each kept context
-    counts: list[tuple[np.ndarray, np.ndarray]]  # of each language: places with counts, and the counts
+    pairs: list[np.ndarray]  # of each order: ascending keys of the bytes seen in kept contexts
+    bits: list[np.ndarray]  # their code lengths
+    contexts: list[np.ndarray]  # of each order: ascending keys of the kept contexts
+    escapes: list[np.ndarray]  # bits that an escape from them adds
+
+
+def keys(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each byte with the `order` bytes before it, and whether its row has so many before it."""
+    out, inside = data.astype(np.uint32), np.ones(len(data), bool)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    for k in range(1, order + 1):
+        out[k:] |= data[:-k].astype(np.uint32) << np.uint32(8 * k)
+    for k in range(order):
+        inside[np.minimum(starts + k, len(data) - 1)] = False  # a shorter row's place is in the next row, which it begins, or the last byte's
+    if order and len(data):
+        last = np.searchsorted(offsets, len(data) - 1, "right") - 1
+        inside[-1] = len(data) - 1 - offsets[last] >= order
+    return out, inside
+
+
+def learn(texts: pa.Array, least: int = LEAST_COUNT) -> Tree:
+    """The frozen tree of a language's texts."""
+    data, offsets = flat.flat(texts)
+    tree = Tree([], [], [], [])
+    for order in range(ORDER + 1):
+        own, inside = keys(data, offsets, order)
+        pairs, counts = np.unique(own[inside], return_counts=True)
+        context = pairs >> np.uint32(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(pairs)))
+        totals = np.add.reduceat(counts, first) if len(pairs) else np.zeros(0, np.int64)
+        kept = (totals >= least) if order else np.ones(len(first), bool)
+        pairs, counts = pairs[np.repeat(kept, sizes)], counts[np.repeat(kept, sizes)]
+        sizes, totals, contexts = sizes[kept], totals[kept], context[first][kept]
+        # What the bytes that were seen have in the next shorter context, where each was seen too.
+        lower = np.exp2(-tree.bits[-1][np.searchsorted(tree.pairs[-1], pairs & np.uint32((1 << 8 * order) - 1))].astype(np.float64)) if order else np.full(len(pairs), 1 / 256)
+        left = np.maximum(0, 1 - np.add.reduceat(lower, np.cumsum(sizes) - sizes)) if len(pairs) else np.zeros(0)
+        full = (sizes == 256) | (left < 1e-12)  # nothing is left to escape to
+        escape = np.where(full, 0, sizes / (totals + sizes))
+        tree.pairs.append(pairs)
+        tree.bits.append(-np.log2(counts / np.repeat(totals, sizes) * np.repeat(1 - escape, sizes)).astype(np.float32))
+        tree.contexts.append(contexts)
+        tree.escapes.append(-np.log2(np.where(full, 1e-30, escape / np.where(full, 1, left))).astype(np.float32))
+    return tree
+
+
+class _Index:
+    """Trees of some languages under one set of keys: a row of numbers a key, a column a language."""
+
+    def __init__(self, trees: list[Tree]):
+        self.pairs, self.bits, self.contexts, self.escapes = [], [], [], []
+        for order in range(ORDER + 1):
+            pairs, contexts = (np.unique(np.concatenate(x)) for x in ([t.pairs[order] for t in trees], [t.contexts[order] for t in trees]))
+            escapes = np.zeros((len(contexts), len(trees)), np.float32)
+            for column, tree in enumerate(trees):
+                escapes[np.searchsorted(contexts, tree.contexts[order]), column] = tree.escapes[order]
+            # A language that lacks a byte escapes from the context, if it has it, and takes what the shorter one says.
+            shorter = self.bits[-1][np.searchsorted(self.pairs[-1], pairs & np.uint32((1 << 8 * order) - 1))] if order else np.full((len(pairs), len(trees)), 8, np.float32)
+            bits = shorter + escapes[np.searchsorted(contexts, pairs >> np.uint32(8))] if len(pairs) else shorter
+            for column, tree in enumerate(trees):
+                bits[np.searchsorted(pairs, tree.pairs[order]), column] = tree.bits[order]
+            self.pairs.append(pairs)
+            self.bits.append(bits)
+            self.contexts.append(contexts)
+            self.escapes.append(escapes)
+
+    @staticmethod
+    def _at(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the wanted keys, and whether they are there."""
+        if not len(known):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return at, known[at] == wanted
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each byte in each language."""
+        out = np.zeros((len(data), self.bits[0].shape[1]), np.float32)
+        open_ = np.arange(len(data))  # bytes that no longer context saw
+        for order in range(ORDER, -1, -1):
+            own, inside = keys(data, offsets, order)
+            able = open_[inside[open_]]
+            at, there = self._at(self.pairs[order], own[able])
+            out[able[there]] += self.bits[order][at[there]]
+            missed = able[~there]
+            at, kept = self._at(self.contexts[order], own[missed] >> np.uint32(8))
+            out[missed[kept]] += self.escapes[order][at[kept]]
+            open_ = np.sort(np.concatenate([missed, open_[~inside[open_]]]))
+        out[open_] += 8  # no tree has the byte at all
+        return out
 
 
-@dataclass
 class Model:
-    statistics: Statistics
-    languages: list[str]
-    symbol: np.ndarray  # of each byte
-    node: np.ndarray  # the longest kept context for the last three symbols
-    bits: np.ndarray  # (node * SYMBOLS + symbol, language)
+    def __init__(self, trees: dict[str, Tree]):
+        self.trees, self.languages = trees, sorted(trees)
+        self.indexes = [_Index([trees[x] for x in self.languages[k : k + TOGETHER]]) for k in range(0, len(self.languages), TOGETHER)]
 
     def __reduce__(self):
-        return tables, (self.statistics,)  # what is sent is a tenth of the tables
+        return Model, (self.trees,)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row's whole text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         some = np.flatnonzero(np.diff(offsets))
         if len(some):
-            symbols, keys = contexts(self.symbol, data, offsets)
-            at = self.node[keys].astype(np.int64) * SYMBOLS + symbols
-            out[some] = np.add.reduceat(self.bits[at], offsets[some], axis=0, dtype=np.float64)
+            for k, index in enumerate(self.indexes):
+                bits = index.lengths(data, offsets)
+                out[some, k * TOGETHER : k * TOGETHER + bits.shape[1]] = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.float64)
         return out
 
 
-def contexts(symbol: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte's symbol, and the symbols before it in its row as one number, the last one lowest."""
-    symbols = symbol[data].astype(np.int32)
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before, keys = symbols, np.zeros(len(data), np.int32)
-    for k in range(ORDER):
-        shifted = np.zeros(len(data), np.int32)
-        shifted[1:] = before[:-1]
-        shifted[starts] = 0
-        keys |= shifted << (7 * k)
-        before = shifted
-    return symbols, keys
-
-
 def fit(texts: dict[str, list[str]]) -> Model:
-    """The frozen trees of each language's texts."""
-    languages = sorted(texts)
-    joined = {lang: flat.flat(pa.array(texts[lang], pa.string())) for lang in languages}
-    seen = sum((np.bincount(data, minlength=256) for data, _ in joined.values()), np.zeros(256, np.int64))
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    frequent = [b for b in np.lexsort((np.arange(256), -seen)) if seen[b]][: SYMBOLS - 2]
-    symbol[frequent] = np.arange(1, len(frequent) + 1)
-    walked = {}
-    for lang in languages:
-        symbols, keys = contexts(symbol, *joined.pop(lang))
-        walked[lang] = symbols.astype(np.uint8), keys
-
-    # Kept contexts, most frequent first; a context's suffix is at least as frequent, so it is kept before it.
-    found = []
-    for order in range(1, ORDER + 1):
-        counts = np.zeros(1 << 7 * order, np.int64)
-        for _, keys in walked.values():
-            counts += np.bincount(keys & ((1 << 7 * order) - 1), minlength=len(counts))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        found.append(np.stack([counts[often], np.full(len(often), order), often]))
-    found = np.concatenate(found, axis=1)
-    most = min(MOST_NODES, MOST_CELLS // (SYMBOLS * max(1, len(languages))))
-    kept = found[1:, np.lexsort((found[2], found[1], -found[0]))][:, : most - 1].astype(np.int32)
-    own, _ = _levels(kept)
-    counted = []
-    for lang in languages:
-        symbols, keys = walked[lang]
-        counts = np.zeros((kept.shape[1] + 1) * SYMBOLS, np.int64)
-        for order in range(ORDER + 1):
-            at = own[order][keys & ((1 << 7 * order) - 1)]
-            there = at >= 0
-            counts += np.bincount(at[there].astype(np.int64) * SYMBOLS + symbols[there], minlength=len(counts))
-        places = np.flatnonzero(counts)
-        counted.append((places.astype(np.int32), counts[places].astype(np.int32)))
-    return tables(Statistics(languages, symbol, max(1, 256 - len(frequent)), kept, counted))
-
-
-def _levels(kept: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By order and symbols: the kept context of just that order, or -1, and the longest kept one of at most that order. Context 0 is the empty one."""
-    own, longest = [np.zeros(1, np.int32)], [np.zeros(1, np.int32)]
-    for order in range(1, ORDER + 1):
-        picked = np.flatnonzero(kept[0] == order)
-        mine = np.full(1 << 7 * order, -1, np.int32)
-        mine[kept[1][picked]] = picked + 1
-        shorter = longest[-1][np.arange(1 << 7 * order) & ((1 << 7 * (order - 1)) - 1)]
-        own.append(mine)
-        longest.append(np.where(mine >= 0, mine, shorter))
-    return own, longest
-
-
-def tables(statistics: Statistics) -> Model:
-    """Code lengths of every symbol in every kept context."""
-    languages, kept = statistics.languages, statistics.kept
-    nodes = kept.shape[1] + 1
-    _, longest = _levels(kept)
-    bits = np.zeros((nodes * SYMBOLS, max(1, len(languages))), np.float32)
-    for column, (places, values) in enumerate(statistics.counts):
-        counts = np.zeros(nodes * SYMBOLS)
-        counts[places] = values
-        counts = counts.reshape(nodes, SYMBOLS)
-        chance = np.full((nodes, SYMBOLS), 1 / (SYMBOLS - 1))
-        chance[0] = _escaped(counts[:1], chance[:1])[0]
-        for order in range(1, ORDER + 1):
-            mine = np.flatnonzero(kept[0] == order) + 1
-            shorter = longest[order - 1][kept[1][mine - 1] & ((1 << 7 * (order - 1)) - 1)]
-            chance[mine] = _escaped(counts[mine], chance[shorter])
-        chance[:, SYMBOLS - 1] /= statistics.shared
-        bits[:, column] = -np.log2(np.maximum(chance, 1e-30)).ravel()
-    return Model(statistics, languages, statistics.symbol, longest[-1], bits)
-
-
-def _escaped(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities in contexts with these counts, given those of their suffixes."""
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    unseen = np.where(counts > 0, 0, shorter)
-    unseen[:, 0] = 0  # no text has the symbol that stands before it
-    left = unseen.sum(1, keepdims=True)
-    escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0)
-    out = counts / np.maximum(total, 1) * (1 - escape) + escape * unseen / np.where(left > 0, left, 1)
-    return np.where(total > 0, out, shorter)
-
-
-def remainder(id_column: Column, by: int) -> Column:
-    return F.crc32(id_column.cast("string")) % by
-
-
-def training_sample(docs: DataFrame, rows: int, id_column: str, class_column: str) -> DataFrame:
-    """About `rows` rows a class at most, the same at every run: those whose identifier's hash is low."""
-    counts = docs.groupBy(class_column).count().orderBy(F.col("count").desc(), class_column).limit(MOST_LANGUAGES)
-    share = F.broadcast(counts.select(F.col(class_column).alias("_class"), (F.lit(float(rows)) / F.col("count")).alias("_share")))  # at most MOST_LANGUAGES rows
-    point = F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return docs.join(share, docs[class_column] == F.col("_class")).filter(point < F.col("_share")).drop("_class", "_share")
+    """The trees of each language's texts."""
+    return Model({lang: learn(pa.array(some, pa.string())) for lang, some in texts.items()})
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -184,21 +160,31 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return count > 0
 
 
+_PARTS = [f"{name}{order}" for name in ("pairs", "bits", "contexts", "escapes") for order in range(ORDER + 1)]
+
+
+def _learned_tree(table: pa.Table) -> pa.Table:
+    """A row of the frozen arrays of one language's sample."""
+    tree = learn(table.column("text").combine_chunks())
+    values = [x.tobytes() for part in (tree.pairs, tree.bits, tree.contexts, tree.escapes) for x in part]
+    return pa.table([table.column("lang").slice(0, 1), *(pa.array([v], pa.binary()) for v in values)], names=["lang", *_PARTS])
+
+
 def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: int = 5) -> Model:
     """The model of rows whose crc32(identifier as text) mod held_out is not 0 and whose text and language are not null; a null identifier teaches."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     known = rows.filter(F.coalesce(remainder(F.col("doc_id"), held_out) != 0, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    texts: dict[str, list[str]] = {}
-    for row in training_sample(known, TRAIN_ROWS, "doc_id", "lang").select("lang", "text").orderBy("lang", "doc_id", "text").collect():  # bounded by TRAIN_ROWS and MOST_LANGUAGES
-        texts.setdefault(row.lang, []).append(row.text)
-    return fit(texts)
+    sample = training_sample(known, "lang", TRAIN_ROWS).select("lang", "text")
+    found = sample.groupBy("lang").applyInArrow(_learned_tree, "lang string, " + ", ".join(f"{p} binary" for p in _PARTS)).collect()  # a row a language
+    arrays = lambda row, name, kind: [np.frombuffer(row[f"{name}{order}"], kind) if row[f"{name}{order}"] else np.zeros(0, kind) for order in range(ORDER + 1)]
+    return Model({r.lang: Tree(arrays(r, "pairs", np.uint32), arrays(r, "bits", np.float32), arrays(r, "contexts", np.uint32), arrays(r, "escapes", np.float32)) for r in found})
 
 
 def batch_predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     data, offsets = flat.flat(texts)
     names, scores = [], [np.zeros(0)]
-    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
+    for low, high in flat.chunks(offsets):
         some = flat.part(data, offsets, low, high)
         letters = has_letter(*some)
         if model.languages:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, trie
-from lakeloom.llm.langid import remainder
+from lakeloom.llm.samples import remainder
 from lakeloom.llm.packed import pack, unpack
 from lakeloom.llm.shared import saved
 

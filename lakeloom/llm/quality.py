@@ -4,8 +4,9 @@ A document is a bag of passages of PASSAGE_WORDS words, all of them. A passage i
 neighbouring byte kinds and a few shares of its words, and encoded by a small hidden layer. Gated attention, learned from
 document labels alone, weighs the passages; the weighted mean of their codes gives the document's score.
 
-The model is fitted by gradient descent on the driver, on a sample of at most about TRAIN_ROWS labelled documents a label, of
-which passages are described on the executors; its parameters are a few thousand numbers whatever the input.
+The model is fitted by gradient descent on the driver, on a sample of about TRAIN_ROWS labelled documents a label at most, each of
+samples.TEXT_CHARS characters at most, whose passages are described on the executors; its parameters are a few thousand numbers whatever
+the input.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import flat
-from lakeloom.llm.langid import remainder, training_sample
+from lakeloom.llm.samples import remainder, training_sample
 
 TRAIN_ROWS = 1500
 PASSAGE_WORDS = 48
@@ -169,33 +170,37 @@ def learned(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     """
     known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.filter(remainder(F.col("doc_id"), held_out) != 0).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).filter("label = top").drop("top")
-    sample = F.broadcast(training_sample(known, TRAIN_ROWS, "doc_id", "label"))  # about TRAIN_ROWS rows a label
+    # The labels are sampled by identifier first, so that few enough are broadcast; then the rows that have them.
+    sample = F.broadcast(training_sample(known.withColumn("text", F.lit("")), "label", TRAIN_ROWS).select(F.col("doc_id").alias("_id"), "label"))  # about TRAIN_ROWS rows a label
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    taught = rows.join(sample, "doc_id").select("doc_id", "label", "text").orderBy("doc_id", "text").collect()
-    if len({r.label for r in taught}) < 2:
+    taught = training_sample(rows.join(sample, F.col("doc_id") == F.col("_id")).drop("_id"), "label", TRAIN_ROWS)
+    found = taught.select("_point", "doc_id", "label", "text").mapInArrow(flat.tidy(_described), "_point double, doc_id string, label int, bags int, features binary").toArrow().sort_by([("_point", "ascending"), ("doc_id", "ascending")])
+    if len(found.column("label").unique()) < 2:
         return None
-    labels_ = np.array([r.label for r in taught], np.float32)
-    data, offsets = flat.flat(pa.array([r.text for r in taught], pa.string()))
-    del taught
-    return fit(*_all_passages(data, offsets), labels_)
-
-
-def _all_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As passages(), by small parts into one array."""
-    out = np.empty((len(data) // (2 * PASSAGE_WORDS) + 2 * len(offsets), FEATURES), np.float32)  # a word takes two bytes; what isn't filled isn't touched
-    bags, filled = [np.zeros(1, np.int64)], 0
-    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 4):
-        x, firsts = passages(*flat.part(data, offsets, low, high))
-        out[filled : filled + len(x)] = x
-        bags.append(filled + firsts[1:])
-        filled += len(x)
-    return out[:filled], np.concatenate(bags)
+    firsts = np.concatenate([[0], np.cumsum(found.column("bags").to_numpy())])
+    x = np.empty((firsts[-1], FEATURES), np.float32)
+    for low, high, features in zip(firsts[:-1], firsts[1:], found.column("features"), strict=True):
+        x[low:high] = np.frombuffer(features.as_buffer(), np.float32).reshape(-1, FEATURES)
+    labels_ = found.column("label").to_numpy().astype(np.float32)
+    del found
+    return fit(x, firsts, labels_)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each row's passages, one after another."""
+    for batch in batches:
+        data, offsets = flat.flat(batch.column(3))
+        for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
+            x, firsts = passages(*flat.part(data, offsets, low, high))
+            some = batch.slice(low, high - low)
+            columns = [some.column(0), some.column(1).cast(pa.string()), some.column(2), pa.array(np.diff(firsts), pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_point", "doc_id", "label", "bags", "features"])
 
 
 def batch_scores(model: Model | None, texts: pa.Array) -> np.ndarray:
     data, offsets = flat.flat(texts)
     scores = [np.zeros(0)]
-    for low, high in flat.chunks(offsets, flat.CHUNK_BYTES // 2):
+    for low, high in flat.chunks(offsets):
         scores.append(model.scores(*passages(*flat.part(data, offsets, low, high))) if model else np.full(high - low, 0.5))
     return np.concatenate(scores)
 

@@ -1,12 +1,16 @@
 """Held-out accuracy of the learned operators, and their pieces against plain versions."""
 
+import functools
+import math
 import os
+import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakeloom.llm import flat, langid, quality, queries
+from lakeloom.llm import flat, langid, quality, queries, samples
 
 FOLDER = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the tables are not here")
@@ -34,22 +38,66 @@ def test_reruns_agree(spark):
         assert sorted(query(spark, FOLDER).collect(), key=key) == sorted(query(spark, FOLDER).collect(), key=key)
 
 
-def test_code_lengths_are_those_of_the_trees():
-    """Summed over what may come next, each context's probabilities are 1; lengths are those of a walk from byte to byte."""
-    model = langid.fit({"a": ["the cat sat on the mat. " * 30], "b": ["der Hund lag auf der Matte, öfter. " * 30]})
-    symbols = len(set("the cat sat on the mat. der Hund lag auf der Matte, öfter. ".encode()))
-    chance = np.exp2(-model.bits.reshape(-1, langid.SYMBOLS, 2))
-    chance[:, langid.SYMBOLS - 1] *= 256 - symbols
-    assert chance[:, 1:].sum(1) == pytest.approx(1, abs=1e-4)
-    texts = ["the hound", "", "öfter öfter", "zzz"]
-    data, offsets = flat.flat(pa.array(texts))
-    for text, got in zip(texts, model.lengths(data, offsets), strict=True):
-        seen, bits = [0, 0, 0], np.zeros(2)
-        for byte in text.encode():
-            s = model.symbol[byte]
-            bits += model.bits[model.node[seen[-3] << 14 | seen[-2] << 7 | seen[-1]] * langid.SYMBOLS + s]
-            seen.append(int(s))
-        assert got == pytest.approx(bits, rel=1e-5)
+def walked(texts, text, least):
+    """Code length of a text by prediction by partial matching, byte by byte from raw counts."""
+    counts = defaultdict(Counter)
+    for t in (t.encode() for t in texts):
+        for i in range(len(t)):
+            for n in range(min(i, 3) + 1):
+                counts[t[i - n : i]][t[i]] += 1
+    counts = {c: found for c, found in counts.items() if not c or found.total() >= least}
+
+    @functools.cache
+    def chance(context, byte):
+        lower = (lambda b: chance(context[1:], b)) if context else (lambda b: 1 / 256)
+        seen = counts.get(context)
+        if not seen:
+            return lower(byte)
+        left = 1 - sum(lower(b) for b in seen)
+        total, kinds = seen.total(), len(seen)
+        if left < 1e-12:
+            return seen[byte] / total if byte in seen else 1e-30
+        return seen[byte] / (total + kinds) if byte in seen else kinds / (total + kinds) * lower(byte) / left
+
+    own = text.encode()
+    return sum(-math.log2(chance(own[max(0, i - 3) : i], own[i])) for i in range(len(own)))
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_code_lengths_from_raw_counts(least):
+    pick = random.Random(3)
+    texts = {"a": ["the cat sat on the mat. ", "the hat", "", "x"], "b": ["der Hund lag auf der Matte, \u00f6fter. " * 3], "c": ["".join(chr(pick.randrange(1, 0x800)) for _ in range(3000))], "d": [""], "e": ["\u65e5\u672c\u8a9e\u65e5\u672c"]}
+    model = langid.Model({k: langid.learn(pa.array(v), least) for k, v in texts.items()})
+    rows = ["the hound sat", "", "\u00f6fter \u00f6fter der", "zzz", "a", "\u65e5\u672c\u8a9e", "th", "\U0001f600", texts["c"][0][:50]]
+    for text, got in zip(rows, model.lengths(*flat.flat(pa.array(rows))), strict=True):
+        assert got == pytest.approx([walked(texts[k], text, least) for k in model.languages], rel=1e-4)
+
+
+def test_probabilities_add_up():
+    model = langid.fit({"a": ["the cat sat on the mat. " * 9]})
+    for before in ("the", "at ", "xyz", "", "t"):
+        rows = [before.encode() + bytes([b]) for b in range(256)]
+        bits = model.lengths(np.frombuffer(b"".join(rows), np.uint8), np.arange(257) * (len(before) + 1))[:, 0] - model.lengths(*flat.flat(pa.array([before])))[0, 0]
+        assert np.exp2(-bits).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_any_number_of_languages(spark):
+    """More than 256, with scripts of more than 126 different bytes in all."""
+    rows = [(k, " ".join(chr(0x4E00 + 3 * k + j) * 3 for j in (0, 1, 2, 0, 1, 0)) * 4, f"l{k:03}") for k in range(300) for _ in range(2)]
+    rows = [(2 * n, text, lang) for n, (_, text, lang) in enumerate(rows)]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    taught = {lang for k, _, lang in rows if not found[k].held_out}
+    assert len(taught) > 256 and all(found[k].lang_pred == lang for k, _, lang in rows if lang in taught)
+
+
+def test_samples_are_bounded(spark):
+    """By rows and by characters, with null and repeated identifiers, repeated rows and long texts."""
+    rows = [(None, f"text {k}", "a") for k in range(2000)] + [(7, f"other {k}", "a") for k in range(2000)] + [(8, "same", "b")] * 3000 + [(k, "x" * 100 + str(k), "c") for k in range(9)]
+    rows += [(1, "".join(map(str, range(20_000))), "d")]
+    sample = samples.training_sample(spark.createDataFrame(rows, "doc_id long, text string, class string"), "class", 400, 1000).collect()
+    count = Counter(r["class"] for r in sample)
+    assert 300 < count["a"] < 500 and count["b"] == 1 and (count["c"], count["d"]) == (9, 1)
+    assert max(len(r.text) for r in sample) == 1000 and all(r.text in rows[-1][1] for r in sample if r["class"] == "d")
 
 
 def test_letters():
@@ -65,10 +113,43 @@ def test_passages():
     assert (x[4, :256] ** 2).sum() == pytest.approx(1)
 
 
+def test_forward_pass():
+    """Against the published gated attention, a passage and a number at a time."""
+    picked = np.random.default_rng(5)
+    bags = [2, 1, 4]
+    x, firsts = picked.standard_normal((7, quality.FEATURES)), np.concatenate([[0], np.cumsum(bags)])
+    model = quality.fit(x, firsts, np.array([1.0, 0.0, 1.0]))
+    w = model.weights
+    for got, low, high in zip(model.scores(x, firsts), firsts[:-1], firsts[1:], strict=True):
+        codes, logits = [], []
+        for row in range(low, high):
+            scaled = [min(6, max(-6, (x[row, j] - model.mean[j]) / model.scale[j])) for j in range(quality.FEATURES)]
+            code = [math.tanh(sum(scaled[j] * w["encode"][j, h] for j in range(quality.FEATURES)) + w["encode0"][h]) for h in range(quality.HIDDEN)]
+            logit = 0.0
+            for g in range(quality.GATES):
+                value, gate = (sum(code[h] * w[part][h, g] for h in range(quality.HIDDEN)) for part in ("value", "gate"))
+                logit += w["attend"][g] * math.tanh(value) / (1 + math.exp(-gate))
+            codes.append(code)
+            logits.append(logit)
+        total = sum(map(math.exp, logits))
+        bag = [sum(math.exp(a) / total * code[h] for a, code in zip(logits, codes, strict=True)) for h in range(quality.HIDDEN)]
+        assert got == pytest.approx(1 / (1 + math.exp(-sum(b * s for b, s in zip(bag, w["score"], strict=True)) - w["score0"][0])), rel=1e-4)
+
+
+def test_a_repeated_identifier_teaches_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 50)
+    docs = spark.createDataFrame([(1, f"good words here {k}") for k in range(3000)] + [(2, "@@@ ### !!")] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "fit", lambda x, firsts, labels: taught.append(len(labels)))
+    quality.learned(docs, labels)
+    assert len(taught) == 1 and 20 < taught[0] < 100
+
+
 def test_gradients():
-    random = np.random.default_rng(0)
+    random_ = np.random.default_rng(0)
     firsts, labels = np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0])
-    x = random.standard_normal((7, quality.FEATURES))
+    x = random_.standard_normal((7, quality.FEATURES))
     model = quality.fit(np.float64(x), firsts, labels)
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
     importance = np.array([1.0, 2.0, 0.5])
@@ -79,7 +160,7 @@ def test_gradients():
 
     grads = quality._gradients(model, x, firsts, labels, importance)
     for name, weight in model.weights.items():
-        at = tuple(random.integers(0, n) for n in weight.shape)
+        at = tuple(random_.integers(0, n) for n in weight.shape)
         kept, step = weight[at], 1e-5
         weight[at] = kept + step
         up = loss()
@@ -91,12 +172,12 @@ def test_gradients():
 
 def test_attention_finds_the_one_bad_passage():
     """Bags are bad for one passage among many; the weight goes to it."""
-    random = np.random.default_rng(1)
+    random_ = np.random.default_rng(1)
     x, firsts, labels = [], [0], []
     for k in range(200):
-        bag = random.standard_normal((12, quality.FEATURES)).astype(np.float32) * 0.1
+        bag = random_.standard_normal((12, quality.FEATURES)).astype(np.float32) * 0.1
         if k % 2:
-            bag[random.integers(0, 12), :20] += 2
+            bag[random_.integers(0, 12), :20] += 2
         x.append(bag)
         firsts.append(firsts[-1] + 12)
         labels.append(1.0 - k % 2)
