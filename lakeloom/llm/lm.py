@@ -1,6 +1,6 @@
 """Scoring documents by an n-gram language model of the whole training corpus, in shards.
 
-1. A map over the documents cuts them into blocks and writes, for each, its distinct words and its texts as places in them.
+1. Documents are dealt into blocks by a hash of the whole row.
 2. A block counts its distinct n-grams and sends them, sorted and packed, to shards. Words go by their own key. Longer n-grams go by the
    key of their first two words, each as the words that follow these, so all n-grams that begin alike meet in one shard. Counts are
    summed within a block before they are sent.
@@ -14,36 +14,34 @@ D * U / F * p, U being how many different words follow it and p the probability
 parts for each entry. A pair's context is a word, whose count another shard knows, so a pair's own code is that of its count, and the block
 divides. D is near 1, so that a passage that the corpus has twice scores higher than one that it has once.
 
-Counts of words are exact 64-bit sums of 56-bit keys. A pair is known by 56 bits, a word after it by 40, whatever the size of the corpus.
+Counts are 64-bit sums. A word and a pair are known by KEY_BITS bits, a word after a pair by AFTER_BITS among those that follow it, whatever
+the size of the corpus: an unseen pair looks seen with a chance of the corpus's distinct pairs over 2**KEY_BITS.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, trie
 from lakeloom.llm.samples import remainder
-from lakeloom.llm.packed import pack, unpack
-from lakeloom.llm.shared import saved
+from lakeloom.llm.packed import bits_of, from_bits, pack, unpack
 
 ORDER = 3
 STRENGTH = 60.0
 DISCOUNT = 0.97
-KEY_BITS = 56
-WORD_BYTES = 5
-BLOCK_BYTES = 4 << 20
+KEY_BITS = 50
+AFTER_BITS = 28
+BLOCK_BYTES = 6 << 20
 PART_BYTES = 8 << 20
 MOST_WORDS = 1 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_KEY_SHIFT, _WORD_SHIFT = np.uint64(64 - KEY_BITS), np.uint64(64 - 8 * WORD_BYTES)
+_KEY_SHIFT, _AFTER_SHIFT = np.uint64(64 - KEY_BITS), np.uint64(64 - AFTER_BITS)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +72,7 @@ def _edges(parts: int) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of a block as levels of a trie: pairs by their key, then (entry above, word) in order."""
+    """The distinct n-grams of a block as levels of a trie: pairs by their key, then (entry above, word) in order. Pairs have no entry above."""
 
     def __init__(self, words: np.ndarray, ids: np.ndarray, places: np.ndarray, order: int):
         """words: the block's distinct word hashes, ascending; ids: each token's place in them; places: where each row's tokens begin."""
@@ -90,16 +88,15 @@ class Grams:
         self.keys, self.above, self.word, self.entry, self.counted = np.zeros(0, np.uint64), [], [], [], []
         for n in range(2, order + 1):
             begins = np.flatnonzero(left >= n)
-            over = sequence[begins] if n == 2 else self.entry[-1][begins]
-            distinct, place = np.unique(over * len(self.hashes) + sequence[begins + n - 1], return_inverse=True)
-            above, word = distinct // len(self.hashes), distinct % len(self.hashes)
             if n == 2:
                 with np.errstate(over="ignore"):
-                    key = flat.mix(self.hashes[above] * _STEP + self.hashes[word]) >> _KEY_SHIFT
-                by_key = np.argsort(key, kind="stable")
-                at = np.empty(len(key), np.int64)
-                at[by_key] = np.arange(len(key))
-                self.keys, above, word, place = key[by_key], above[by_key], word[by_key], at[place]
+                    key = flat.mix(self.hashes[sequence[begins]] * _STEP + self.hashes[sequence[begins + 1]]) >> _KEY_SHIFT
+                self.keys, place, _, _ = flat.distinct(key)
+                above = word = np.zeros(len(self.keys), np.int64)
+            else:
+                codes, place, _, _ = flat.distinct(self.entry[-1][begins] * len(self.hashes) + sequence[begins + n - 1])
+                codes = codes.astype(np.int64)
+                above, word = codes // len(self.hashes), codes % len(self.hashes)
             entry = np.full(len(self.row), -1)
             entry[begins] = place
             self.above.append(above)
@@ -108,78 +105,71 @@ class Grams:
             self.counted.append((local >= order - 1 - n) & (left >= n))  # those that end before a row's first word count once a row
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(block, doc_ids, held, sizes, words, ids): the written blocks; sizes in tokens."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """The rows with their texts as Zstandard frames, of which the shuffle moves less than of text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, squeeze = TaskContext.get().partitionId() << 32, pa.Codec("zstd")
+    def run(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
-            data, offsets = flat.flat(batch.column(2))
-            for low, high in flat.chunks(offsets, BLOCK_BYTES):
-                own, places = tokens(*flat.part(data, offsets, low, high))
-                words, ids = np.unique(own, return_inverse=True)
-                ids = ids.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()
-                one = pa.array([0, high - low], pa.int32())
-                columns = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(one, batch.column(0).slice(low, high - low)), pa.ListArray.from_arrays(one, batch.column(1).slice(low, high - low))]
-                columns += [pa.array([x], pa.binary()) for x in (np.diff(places).astype("<i8").tobytes(), words.astype("<u8").tobytes(), squeeze.compress(ids, asbytes=True))]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "sizes", "words", "ids"])
-                block += 1
-
-    return rows.select("doc_id", "held_out", "text").mapInArrow(flat.tidy(run), f"block long, doc_ids array<{kind}>, held array<boolean>, sizes binary, words binary, ids binary")
-
+            data, offsets = flat.flat(batch.column("text"))
+            frames = [codec.compress(data[a:b], asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "held_out", "block", "size", "frame"])
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words, ids and places of a written block."""
-    words, sizes = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["sizes"], "<i8")
-    places = np.concatenate([[0], np.cumsum(sizes)])
-    kind = np.dtype("<u2" if len(words) <= 1 << 16 else "<u4")
-    ids = np.frombuffer(pa.Codec("zstd").decompress(row["ids"], int(places[-1]) * kind.itemsize, asbytes=True), kind)
-    return words, ids.astype(np.int64), places
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "held_out", "block", "text").mapInArrow(flat.tidy(run), f"doc_id {kind}, held_out boolean, block int, size long, frame binary")
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {name: batch.column(n)[k].as_py() for n, name in enumerate(batch.schema.names)}
+def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct word hashes, its tokens as places in them, and where each row's begin."""
+    codec, sizes = pa.Codec("zstd"), table.column("size").to_numpy()
+    parts = [codec.decompress(frame.as_buffer(), size, asbytes=True) if size else b"" for frame, size in zip(table.column("frame"), sizes.tolist(), strict=True)]
+    offsets, found, places, at = np.concatenate([[0], np.cumsum(sizes)]), [], [np.zeros(1, np.int64)], 0
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    del parts
+    for low, high in flat.chunks(offsets):
+        own, begins = tokens(*flat.part(data, offsets, low, high))
+        found.append(own)
+        places.append(at + begins[1:])
+        at += len(own)
+    words, ids, _, _ = flat.distinct(np.concatenate(found))
+    return words, ids, np.concatenate(places)
 
 
-def _asked(blocks: DataFrame, parts: int, order: int) -> DataFrame:
-    """(block, part, entries, words, pairs, kids, below, counts): each block's distinct n-grams by shard, with their training counts.
+def _asked(texts: DataFrame, parts: int, order: int) -> DataFrame:
+    """(block, part, entries, words, pairs, kids, after, counts): each block's distinct n-grams by shard, with their training counts.
 
-    entries: how many words, pairs, and n-grams of each further level; kids: how many each n-gram has below it; below: the last words.
+    entries: how many words, pairs, and n-grams of each further level; kids: how many each n-gram has below it; after: the last words.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         edges = _edges(parts)
-        for row in _each(batches):
-            words, ids, places = _opened(row)
-            grams = Grams(words, ids, places, order)
-            taught = ~np.array(row["held"], bool)
-            counts = [np.bincount(ids[np.repeat(taught, np.diff(places))], minlength=len(words))]
-            taught = taught[grams.row]
-            counts += [np.bincount(entry[counted & taught], minlength=len(above)) for entry, counted, above in zip(grams.entry, grams.counted, grams.above, strict=True)]
-            short = words >> _KEY_SHIFT
-            last = np.ascontiguousarray((grams.hashes >> _WORD_SHIFT).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-            # Where each shard's slice of each level begins: what lies below a slice is a slice.
-            cuts = [np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])]
-            if order > 1:
-                cuts.append(np.concatenate([[0], np.searchsorted(grams.keys, edges), [len(grams.keys)]]))
-            cuts += [np.zeros(0, np.int64)] * (order - 2)
-            kids = []
-            for n in range(2, order):
-                cuts[n] = np.searchsorted(grams.above[n - 1], cuts[n - 1])
-                kids.append(np.bincount(grams.above[n - 1], minlength=len(grams.above[n - 2])))
-            sent = np.diff(np.array(cuts), axis=1)
-            out: dict[str, list] = {k: [] for k in ("part", "entries", "words", "pairs", "kids", "below", "counts")}
-            for p in np.flatnonzero(sent.sum(0)):
-                at = [slice(c[p], c[p + 1]) for c in cuts]
-                values = (int(p), sent[:, p].astype("<i8").tobytes(), pack(short[at[0]]), pack(grams.keys[at[1]]) if order > 1 else b"", _small(np.concatenate([k[a] for k, a in zip(kids, at[1:], strict=False)])) if kids else b"", b"".join(last[grams.word[n - 1][at[n]]].tobytes() for n in range(2, order)), _small(np.concatenate([c[a] for c, a in zip(counts, at, strict=True)])))
-                for name, value in zip(out, values, strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(out["part"]), pa.int64()), pa.array(out["part"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in out.items() if k != "part")], ["block", *out])
-
-    return blocks.mapInArrow(flat.tidy(run), "block long, part int, entries binary, words binary, pairs binary, kids binary, below binary, counts binary")
+        words, ids, places = _opened(table)
+        taught = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        grams = Grams(words, ids, places, order)
+        counts = [np.bincount(ids[np.repeat(taught, np.diff(places))], minlength=len(words))]
+        taught = taught[grams.row]
+        counts += [np.bincount(entry[counted & taught], minlength=len(above)) for entry, counted, above in zip(grams.entry, grams.counted, grams.above, strict=True)]
+        short, last = words >> _KEY_SHIFT, grams.hashes >> _AFTER_SHIFT
+        # Where each shard's slice of each level begins: what lies below a slice is a slice.
+        cuts = [np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])]
+        if order > 1:
+            cuts.append(np.concatenate([[0], np.searchsorted(grams.keys, edges), [len(grams.keys)]]))
+        kids = []
+        for n in range(2, order):
+            cuts.append(np.searchsorted(grams.above[n - 1], cuts[n - 1]))
+            kids.append(np.bincount(grams.above[n - 1], minlength=len(grams.above[n - 2])))
+        sent = np.diff(np.array(cuts), axis=1)
+        out: dict[str, list] = {k: [] for k in ("part", "entries", "words", "pairs", "kids", "after", "counts")}
+        for p in np.flatnonzero(sent.sum(0)):
+            at = [slice(c[p], c[p + 1]) for c in cuts]
+            after = [last[grams.word[n - 1][at[n]]] for n in range(2, order)]
+            values = (int(p), sent[:, p].astype("<i8").tobytes(), pack(short[at[0]]), pack(grams.keys[at[1]]) if order > 1 else b"", _small(np.concatenate([k[a] for k, a in zip(kids, at[1:], strict=False)])) if kids else b"", bits_of(np.concatenate(after), AFTER_BITS) if after else b"", _small(np.concatenate([c[a] for c, a in zip(counts, at, strict=True)])))
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+        block = pa.array([table.column("block")[0].as_py()] * len(out["part"]), pa.int32())
+        return pa.table([block, pa.array(out["part"], pa.int32()), *(pa.array(v, pa.binary()) for k, v in out.items() if k != "part")], names=["block", *out])
+
+    return texts.groupBy("block").applyInArrow(run, "block int, part int, entries binary, words binary, pairs binary, kids binary, after binary, counts binary")
 
 
 def shard(roots: np.ndarray, root_counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray, discount: float) -> trie.Trie:
@@ -206,10 +196,8 @@ def shard(roots: np.ndarray, root_counts: np.ndarray, levels: list[tuple[np.ndar
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, where each value stands among them, and the sums of the counts."""
-    distinct, place = np.unique(codes, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, place, counts)
-    return distinct, place, total
+    found, place, order, first = flat.distinct(codes)
+    return found, place, np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
@@ -228,20 +216,19 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
             roots, entry, root_counts = _summed(np.concatenate([unpack(x) for x in table.column("pairs").to_pylist()]), counts[1])
             entries, levels = [entry], []
             kids = [_numbers(x, int(n)) for x, n in zip(table.column("kids").to_pylist(), sent[:, 1 : order - 1].sum(1), strict=True)]
-            below = [np.frombuffer(x, np.uint8).reshape(-1, WORD_BYTES) for x in table.column("below").to_pylist()]
-            wide = np.zeros((int(sent[:, 2:].sum()), 8), np.uint8)
-            wide[:, :WORD_BYTES] = np.concatenate(below)
-            words, word = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+            after = [from_bits(x, int(n), AFTER_BITS) for x, n in zip(table.column("after").to_pylist(), sent[:, 2:].sum(1), strict=True)]
+            words, word, _, _ = flat.distinct(np.concatenate(after))
             word = np.split(word, np.cumsum(sent[:-1, 2:].sum(1)))
             for n in range(2, order):
                 a, b = sent[:, 1 : n - 1].sum(1), sent[:, 1:n].sum(1)
                 above = np.repeat(entry, np.concatenate([k[x:y] for k, x, y in zip(kids, a, b, strict=True)]))
                 a, b = sent[:, 2:n].sum(1), sent[:, 2 : n + 1].sum(1)
                 own = np.concatenate([w[x:y] for w, x, y in zip(word, a, b, strict=True)])
-                distinct, entry, total = _summed(above * np.int64(max(1, len(words))) + own, counts[n])
+                found, entry, total = _summed(above * np.int64(max(1, len(words))) + own, counts[n])
+                distinct = found.astype(np.int64)
                 entries.append(entry)
                 levels.append((distinct // max(1, len(words)), distinct % max(1, len(words)), total))
-            del kids, below, wide, word
+            del kids, after, word
             model = shard(roots, root_counts, levels, words, discount)
             # Every distinct n-gram that was sent is searched, context after context.
             at = model.root(roots)
@@ -256,10 +243,10 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
                 codes.append(np.split(code[entries[n]], np.cumsum(sent[:-1, n + 1])))
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([_small(x) for x in told], pa.binary()), "codes": pa.array([b"".join(c[k].astype("<u2").tobytes() for c in codes) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
 
-    return asked.groupBy("part").applyInArrow(run, "block long, part int, counts binary, codes binary, entries binary")
+    return asked.groupBy("part").applyInArrow(run, "block int, part int, counts binary, codes binary, entries binary")
 
 
-def _vocabulary(blocks: DataFrame, parts: int) -> tuple[int, int]:
+def _vocabulary(texts: DataFrame, parts: int) -> tuple[int, int]:
     """Training tokens, and distinct ones, over the corpus."""
 
     def packed(keys: np.ndarray, total: int) -> pa.RecordBatch:
@@ -269,13 +256,14 @@ def _vocabulary(blocks: DataFrame, parts: int) -> tuple[int, int]:
 
     def send(batches):
         known, total = np.zeros(0, np.uint64), 0
-        for row in _each(batches):
-            words, ids, places = _opened(row)
-            taught = np.bincount(ids[np.repeat(~np.array(row["held"], bool), np.diff(places))], minlength=len(words))
-            known, total = np.union1d(known, words[taught > 0] >> _KEY_SHIFT), total + int(taught.sum())
-            if len(known) > MOST_WORDS:  # what a task holds stays bounded
-                yield packed(known, total)
-                known, total = np.zeros(0, np.uint64), 0
+        for batch in batches:
+            data, offsets = flat.flat(batch.column(0))
+            for low, high in flat.chunks(offsets):
+                own, _ = tokens(*flat.part(data, offsets, low, high))
+                known, total = np.union1d(known, own >> _KEY_SHIFT), total + len(own)
+                if len(known) > MOST_WORDS:  # what a task holds stays bounded
+                    yield packed(known, total)
+                    known, total = np.zeros(0, np.uint64), 0
         if total:
             yield packed(known, total)
 
@@ -283,7 +271,7 @@ def _vocabulary(blocks: DataFrame, parts: int) -> tuple[int, int]:
         keys = np.concatenate([unpack(k) for k in table.column("keys").to_pylist()])
         return pa.table({"tokens": pa.array([int(table.column("tokens").to_numpy().sum())]), "words": pa.array([len(np.unique(keys))])})
 
-    sent = blocks.select("held", "sizes", "words", "ids").mapInArrow(flat.tidy(send), "part int, tokens long, keys binary")
+    sent = texts.filter("not held_out").select("text").mapInArrow(flat.tidy(send), "part int, tokens long, keys binary")
     row = sent.groupBy("part").applyInArrow(count, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     return row[0] or 0, row[1] or 0
 
@@ -319,16 +307,14 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     held = F.coalesce(held_out if held_out is not None else remainder(F.col(id_column), 7) == 2, F.lit(False))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held.alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = saved(_blocks(rows), "lm-blocks")
-    # Shards by the written tokens: a text of so many bytes has about a sixth as many.
-    size = blocks.agg(F.sum(F.octet_length("ids") + F.octet_length("words"))).first()[0] or 0
-    parts = max(1, math.ceil(4 * size / PART_BYTES))
-    total, words = _vocabulary(blocks, parts)
-    answers = _answered(_asked(blocks, parts, order), order, discount)
+    size = rows.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
+    blocks, parts = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / PART_BYTES))
+    total, words = _vocabulary(rows, parts)
+    texts = _squeezed(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")))
+    answers = _answered(_asked(texts, parts, order), order, discount)
 
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
-        row = {name: block.column(name)[0].as_py() for name in ("words", "sizes", "ids")}
-        known, ids, places = _opened(row)
+        known, ids, places = _opened(block)
         grams = Grams(known, ids, places, order)
         pieces = answer.sort_by("part")
         sent = np.stack([np.frombuffer(x, "<i8") for x in pieces.column("entries").to_pylist()])
@@ -338,7 +324,6 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         codes = [np.concatenate([c[a:b] for c, a, b in zip(told, sizes[:, :n].sum(1), sizes[:, : n + 1].sum(1), strict=True)]) for n in range(sizes.shape[1])]
         base, score = block_scores(grams, ids, places, counts, codes[: order - 1], codes[order - 1 :], total, words, strength)
         out = [pa.array(np.diff(places)), pa.array(np.add.reduceat((counts[ids] > 0).astype(np.int64), places[:-1])), pa.array(np.full(len(places) - 1, total, np.int64)), pa.array(np.add.reduceat(base, places[:-1])), pa.array(np.add.reduceat(score, places[:-1]))]
-        ids_, held_ = (block.column(c).combine_chunks().flatten() for c in ("doc_ids", "held"))
-        return pa.table([ids_, held_, *out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([block.column("doc_id"), block.column("held_out"), *out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

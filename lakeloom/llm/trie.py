@@ -97,35 +97,48 @@ class Sequence:
         place = word * 64 + _select(self.high[word], at - self.ones[word])
         return ((place - at).astype(np.uint64) << np.uint64(self.width)) | self._low(at)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below each of these: the set bits before the zero that closes the bucket before."""
-        out = np.zeros(len(high), np.int64)
-        some = np.flatnonzero(high > 0)
-        zero = high[some] - 1
-        word = np.searchsorted(self.zeros, zero, "right") - 1
-        place = word * 64 + _select(~self.high[word], zero - self.zeros[word])
-        out[some] = place - zero
-        return out
-
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """The first place whose value is at least this; the sequence's size where there is none."""
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with this high part begin and end: the set bits between the zero that closes the bucket before and the next zero."""
+        zero = high - 1
+        word = np.maximum(np.searchsorted(self.zeros, zero, "right") - 1, 0)
+        held = self.high[word]
+        bit = _select(~held, np.maximum(zero - self.zeros[word], 0)) + 1
+        bit[high == 0] = 0  # nothing closes before the first bucket
+        at = word * 64 + bit - high
+        # The run of set bits from there; one that fills its word goes on in the next ones.
+        rest = np.where(bit < 64, held >> np.minimum(bit, 63).astype(np.uint64), np.uint64(0))
+        run = np.bitwise_count((rest ^ (rest + _ONE)) >> _ONE).astype(np.int64)
+        full = np.flatnonzero(bit + run >= 64)
+        run[full] = np.minimum(run[full], 64 - bit[full])
+        word = word[full]
+        while len(full):
+            word = word + 1
+            more = np.bitwise_count((self.high[word] ^ (self.high[word] + _ONE)) >> _ONE).astype(np.int64)
+            more[self.high[word] == ~np.uint64(0)] = 64
+            run[full] += more
+            full, word = full[more == 64], word[more == 64]
+        return at, at + run
+
+    def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose value is at least this, the sequence's size where there is none; and whether it is this value."""
         if not self.size:
-            return np.zeros(len(wanted), np.int64)
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
         wanted = wanted.astype(np.uint64)
         high = wanted >> np.uint64(self.width)
         beyond = high > np.uint64(self.top)
-        high = np.minimum(high, np.uint64(self.top)).astype(np.int64)
-        at, end = self._before(high), self._before(high + 1)
+        at, end = self._bucket(np.minimum(high, np.uint64(self.top)).astype(np.int64))
         low = wanted & np.uint64((1 << self.width) - 1)
-        stop = end.copy()
+        stop, same = end.copy(), np.zeros(len(wanted), bool)
         open_ = np.flatnonzero(at < stop)
         while len(open_):  # as many turns as the largest bucket has bits in its size
             middle = (at[open_] + stop[open_]) >> 1
-            less = self._low(middle) < low[open_]
+            held = self._low(middle)
+            less = held < low[open_]
+            same[open_] |= held == low[open_]
             at[open_] = np.where(less, middle + 1, at[open_])
             stop[open_] = np.where(less, stop[open_], middle)
             open_ = open_[at[open_] < stop[open_]]
-        return np.where(beyond, self.size, at)
+        return np.where(beyond, self.size, at), same & ~beyond
 
 
 class Trie:
@@ -163,12 +176,8 @@ class Trie:
 
     @staticmethod
     def _found(sequence: Sequence, keys: np.ndarray) -> np.ndarray:
-        at = sequence.successor(keys)
-        some = np.flatnonzero(at < sequence.size)
-        out = np.full(len(keys), -1)
-        same = some[sequence.read(at[some]) == keys[some].astype(np.uint64)]
-        out[same] = at[same]
-        return out
+        at, same = sequence.successor(keys)
+        return np.where(same, at, -1)
 
     def root(self, keys: np.ndarray) -> np.ndarray:
         """Entries of the first level with these keys, -1 where there is none."""
@@ -183,14 +192,18 @@ class Trie:
         pointers, values = self.levels[level]
         out = np.full(len(words), -1)
         some = np.flatnonzero((contexts >= 0) & (words >= 0))
-        low, high = pointers.read(contexts[some]).astype(np.int64), pointers.read(contexts[some] + 1).astype(np.int64)
-        some, low, high = some[low < high], low[low < high], high[low < high]
-        reached = np.zeros(len(some), np.uint64)
-        after = np.flatnonzero(low > 0)
+        if not len(some):
+            return out
+        # A context is read once however many words are asked of it.
+        context = contexts[some]
+        first = np.concatenate([[True], context[1:] != context[:-1]])
+        asked = context[first]
+        low, high = pointers.read(asked).astype(np.int64), pointers.read(asked + 1).astype(np.int64)
+        reached = np.zeros(len(asked), np.uint64)
+        after = np.flatnonzero((low > 0) & (low < high))
         reached[after] = values.read(low[after] - 1)
-        wanted = reached + words[some].astype(np.uint64) + _ONE
-        at = values.successor(wanted)
-        here = np.flatnonzero(at < high)
-        same = here[values.read(at[here]) == wanted[here]]
+        place = np.cumsum(first) - 1
+        at, same = values.successor(reached[place] + words[some].astype(np.uint64) + _ONE)
+        same &= (at >= low[place]) & (at < high[place])
         out[some[same]] = at[same]
         return out

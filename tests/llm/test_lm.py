@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lakeloom.llm import lm, packed, trie
+from lakeloom.llm import flat, lm, packed, trie
 
 
 def texts(seed=0, count=120):
@@ -71,15 +71,30 @@ def test_elias_fano(top):
         values = np.sort(random_.integers(0, top, size))
         if size > 100:
             values[200:400] = values[200]  # a large bucket
+            values[400:600] = values[400] + np.arange(200) * (top > 5000)
+            values.sort()
         coded = trie.elias_fano(values)
         sequence = trie.Sequence(coded)
         assert (sequence.read(np.arange(size)) == values.astype(np.uint64)).all()
         wanted = np.concatenate([values, values + 1, np.maximum(values, 1) - 1, random_.integers(0, top, 300), [0, top, top + 77]])
-        assert (sequence.successor(wanted) == np.searchsorted(values, wanted)).all()
+        at, same = sequence.successor(wanted)
+        assert (at == np.searchsorted(values, wanted)).all() and (same == np.isin(wanted, values)).all()
         if size == 1000 and top > 5000:
             assert sum(a.nbytes for a in coded[1:3]) * 8 < size * (math.log2(top / size) + 4)
 
 
+def test_order():
+    random_ = np.random.default_rng(2)
+    for top in (1, 9, 1 << 40, 1 << 63):
+        for size in (0, 1, 2, 3000):
+            values = random_.integers(0, top, size, dtype=np.uint64, endpoint=True)
+            values[: size // 2] = values[size - size // 2 :] ^ np.uint64(top > 9)  # close ones
+            order, found = flat.ordered(values)
+            assert (order == np.argsort(values, kind="stable")).all() and (found == np.sort(values)).all()
+            distinct, place, _, first = flat.distinct(values)
+            assert (distinct[place] == values).all() and (distinct == np.unique(values)).all() and len(first) == len(distinct)
+
+
 def test_codes():
     for values, read in ((10.0 ** -np.linspace(0, 15, 200), trie.shares), (10.0 ** np.linspace(0, 15, 200), trie.counts)):
         assert read(trie.quantised(values)) == pytest.approx(values, rel=4e-4)
