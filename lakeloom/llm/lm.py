@@ -204,7 +204,7 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
     """(block, part, counts, codes): the corpus counts of the words that each block sent, and the codes of its n-grams, in the order of sending."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.num_rows
+        rows, squeeze = table.num_rows, pa.Codec("zstd")  # most n-grams stand once, so most codes are alike
         sent = np.stack([np.frombuffer(x, "<i8") for x in table.column("entries").to_pylist()])
         counted = [_numbers(x, int(n)) for x, n in zip(table.column("counts").to_pylist(), sent.sum(1), strict=True)]
         counts = [np.concatenate([c[a:b] for c, a, b in zip(counted, sent[:, :n].sum(1), sent[:, : n + 1].sum(1), strict=True)]) for n in range(order)]
@@ -241,7 +241,7 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
                 code = np.zeros(len(found[n]), np.uint16)
                 code[found[n] >= 0] = held[found[n][found[n] >= 0]]
                 codes.append(np.split(code[entries[n]], np.cumsum(sent[:-1, n + 1])))
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([_small(x) for x in told], pa.binary()), "codes": pa.array([b"".join(c[k].astype("<u2").tobytes() for c in codes) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([_small(x) for x in told], pa.binary()), "codes": pa.array([squeeze.compress(b"".join(c[k].astype("<u2").tobytes() for c in codes), asbytes=True) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
 
     return asked.groupBy("part").applyInArrow(run, "block int, part int, counts binary, codes binary, entries binary")
 
@@ -319,8 +319,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pieces = answer.sort_by("part")
         sent = np.stack([np.frombuffer(x, "<i8") for x in pieces.column("entries").to_pylist()])
         counts = np.concatenate([_numbers(x, int(n)) for x, n in zip(pieces.column("counts").to_pylist(), sent[:, 0], strict=True)])
-        told = [np.frombuffer(x, "<u2") for x in pieces.column("codes").to_pylist()]
         sizes = np.concatenate([sent[:, 1:], sent[:, 1:-1]], axis=1)
+        told = [np.frombuffer(pa.Codec("zstd").decompress(x, 2 * int(n), asbytes=True), "<u2") if n else np.zeros(0, "<u2") for x, n in zip(pieces.column("codes").to_pylist(), sizes.sum(1), strict=True)]
         codes = [np.concatenate([c[a:b] for c, a, b in zip(told, sizes[:, :n].sum(1), sizes[:, : n + 1].sum(1), strict=True)]) for n in range(sizes.shape[1])]
         base, score = block_scores(grams, ids, places, counts, codes[: order - 1], codes[order - 1 :], total, words, strength)
         out = [pa.array(np.diff(places)), pa.array(np.add.reduceat((counts[ids] > 0).astype(np.int64), places[:-1])), pa.array(np.full(len(places) - 1, total, np.int64)), pa.array(np.add.reduceat(base, places[:-1])), pa.array(np.add.reduceat(score, places[:-1]))]
