@@ -55,7 +55,7 @@ def defined(made: CreateTable, tables: dict[str, TableDef]) -> TableDef:
         raise EngineError("table must have at least one column")
     for c in columns:
         if columns.count(c) > 1:
-            raise EngineError(f"duplicate column name: '{c}'")
+            raise EngineError(f"duplicate column name: {c}")
     if not made.primary:
         raise EngineError("primary key is required")
     if len(made.primary) > 1:
@@ -63,6 +63,8 @@ def defined(made: CreateTable, tables: dict[str, TableDef]) -> TableDef:
     primary = made.primary[0]
     if not primary:
         raise EngineError("primary key must have at least one column")
+    if len(primary) > len(columns):
+        raise EngineError("primary key columns exceed total columns")
     for c in primary:
         if c not in columns:
             raise EngineError(f"primary key column '{c}' does not exist")
@@ -74,9 +76,9 @@ def defined(made: CreateTable, tables: dict[str, TableDef]) -> TableDef:
             if c not in columns:
                 raise EngineError(f"{kind} column '{c}' does not exist")
             if name in names:
-                raise EngineError(f"duplicate constraint name: '{name}'")
+                raise EngineError(f"duplicate index name: {name}")
             if c in indexed:
-                raise EngineError(f"column '{c}' has more than one index")
+                raise EngineError(f"column '{c}' cannot have multiple indexes")
             names.add(name)
             indexed.add(c)
     taken = {f.name for t in tables.values() for f in t.foreign}

@@ -1,7 +1,8 @@
 """The text of typed values, and comparisons of typed columns with text that Parquet can still prune by.
 
 Every value of the engine is text, compared byte by byte. A typed column of an external table has one rendering, used for both
-comparison and output: integers in decimal, doubles with two decimals, timestamps to the microsecond, strings as they are.
+comparison and output: integers in decimal, doubles with two decimals where these are all they have and else in full, timestamps to the
+microsecond, strings as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def rendered(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return column
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return column.cast("decimal(18,2)").cast("string")
+        short = column.try_cast("decimal(18,2)")  # amounts have two decimals; a number that isn't one, or is too large, has its exact text
+        return F.when(short.cast(kind) == column, short.cast("string")).otherwise(column.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, STAMP)
     return column.cast("string")

@@ -1,7 +1,8 @@
 """INSERT, UPDATE and DELETE as sets of rows: matches and checks are DataFrame plans, and a change is one delta layer.
 
-Conditions are tried on the latest committed rows and the transaction's own, after the rows' locks are held. Keys and references are
-checked by semi and anti joins before anything is staged, so a refused statement has no effect.
+Conditions are tried on the latest committed rows and the transaction's own, after the rows' locks are held. A change is written once, as the
+delta that it would stage, and keys and references are checked against what was written, by semi and anti joins; a refused statement
+stages nothing, so it has no effect.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ class Work:
     tables: dict[str, TableDef]
     current: Callable[[TableDef], DataFrame]  # latest committed rows and the transaction's own
     lock: Callable[[tuple, str], None]
+    write: Callable[[TableDef, DataFrame], str]  # a delta; returns its path
+
+    def written(self, table: TableDef, rows: DataFrame) -> tuple[str, DataFrame]:
+        """The rows as a delta that is not staged yet: its path, and what it holds."""
+        path = self.write(table, rows)
+        return path, self.store.read_delta(table, path)
 
     def references_to(self, table: TableDef) -> list[tuple[TableDef, ForeignKey]]:
         return [(t, f) for t in self.tables.values() for f in t.foreign if f.parent == table.name]
@@ -95,7 +102,7 @@ def insert(work: Work, table: TableDef, made: Insert) -> Change:
             raise DuplicateKey(f"duplicate key in table {table.name}")
     for key in table.foreign:
         _missing_parent(work, key, new.select(F.col(key.column).alias("value")).distinct())
-    return Change(work.store.write_delta(table, new.withColumn(GONE, F.lit(False))), len(rows), only_new=True)
+    return Change(work.write(table, new.withColumn(GONE, F.lit(False))), len(rows), only_new=True)
 
 
 def _matched(work: Work, table: TableDef, where: Condition | None) -> DataFrame:
@@ -127,14 +134,19 @@ def _restrict(work: Work, child: TableDef, key: ForeignKey, leaving: DataFrame)
         raise ForeignKeyError("cannot delete or update a parent row: a foreign key constraint fails")
 
 
+def _marks(table: TableDef, rows: DataFrame) -> DataFrame:
+    """Marks that the rows' keys are gone."""
+    rest = [c for c in table.columns if c not in table.primary]
+    return rows.select(*table.primary).withColumns({**{c: F.lit(None).cast("string") for c in rest}, GONE: F.lit(True)})
+
+
 def delete(work: Work, table: TableDef, made: Delete) -> Change:
     rows = _matched(work, table, made.where)
     for child, key in work.references_to(table):
         _lock_values(work, table, key.parent_column, rows)
         _restrict(work, child, key, rows)
-    rest = [c for c in table.columns if c not in table.primary]
-    path = work.store.write_delta(table, rows.select(*table.primary).withColumns({**{c: F.lit(None).cast("string") for c in rest}, GONE: F.lit(True)}))
-    count = work.store.read_delta(table, path).count()
+    path, gone = work.written(table, _marks(table, rows))
+    count = gone.count()
     return Change(path if count else None, count)
 
 
@@ -147,25 +159,29 @@ def update(work: Work, table: TableDef, made: Update) -> Change:
             raise EngineError(f"column {column} is set twice")
         sets[column] = value
     rows = _matched(work, table, made.where)
-    new = rows.withColumns({c: F.lit(v) for c, v in sets.items()})
     uniques = [c for c in table.unique_columns() if c in sets]
     work.lock_rows(table, [("value", c, sets[c]) for c in uniques], "X")
     for key in table.foreign:
         if key.column in sets:
             work.lock_rows(work.tables[key.parent], [("value", key.parent_column, sets[key.column])], "S")
     moved = any(c in sets for c in table.primary)
-    if set(table.primary) <= set(sets):
-        work.lock_rows(table, [("row", *(sets[c] for c in table.primary))], "X")
-    count = rows.count()
+    set_to = {c: F.lit(v) for c, v in sets.items()}
+    if moved:  # every key that a row lands on is locked, so that no other session takes it before this one ends
+        landing = rows.select(*table.primary).withColumns({c: v for c, v in set_to.items() if c in table.primary}).limit(locks.MOST_ROWS + 1).collect()
+        work.lock_rows(table, [("row", *k) for k in landing], "X")
+    path, written = work.written(table, rows.withColumns(set_to).withColumn(GONE, F.lit(False)))
+    count = written.count()
     if not count:
         return Change(None, 0)
 
-    # A unique column set to one value can hold it in one row; a key that moves must land on free places.
-    others = work.current(table).join(rows.select(*table.primary), table.primary, "left_anti")
+    # A unique column set to one value can hold it in one row; a key that moves must land on free places. Rows that aren't keys' stay
+    # where they are, so what was written says which others there are.
+    taken = rows if moved else written
+    others = work.current(table).join(taken.select(*table.primary), table.primary, "left_anti")
     for c in uniques:
         if count > 1 or some(others.filter(F.col(c) == sets[c])):
             raise DuplicateKey(f"duplicate key in table {table.name}")
-    if moved and (some(new.groupBy(*table.primary).count().filter("count > 1")) or some(others.join(new.select(*table.primary), table.primary, "left_semi"))):
+    if moved and (some(written.groupBy(*table.primary).count().filter("count > 1")) or some(others.join(written.select(*table.primary), table.primary, "left_semi"))):
         raise DuplicateKey(f"duplicate key in table {table.name}")
     for child, key in work.references_to(table):
         if key.parent_column in sets:
@@ -175,10 +191,7 @@ def update(work: Work, table: TableDef, made: Update) -> Change:
     for key in table.foreign:
         if key.column in sets and some(rows.filter(F.col(key.column) != sets[key.column])):
             _missing_parent(work, key, work.store.spark.createDataFrame([(sets[key.column],)], "value string"))
-
-    delta = new.withColumn(GONE, F.lit(False))
     if moved:
-        rest = [c for c in table.columns if c not in table.primary]
-        gone = rows.select(*table.primary).join(new.select(*table.primary), table.primary, "left_anti")
-        delta = delta.unionByName(gone.withColumns({**{c: F.lit(None).cast("string") for c in rest}, GONE: F.lit(True)}))
-    return Change(work.store.write_delta(table, delta), count)
+        gone = rows.select(*table.primary).join(written.select(*table.primary), table.primary, "left_anti")
+        path = work.write(table, written.unionByName(_marks(table, gone)))
+    return Change(path, count)
