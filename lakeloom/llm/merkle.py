@@ -5,8 +5,10 @@ one paragraph, a section's digest covers its leaves in order, and the root cover
 roots; the branches that differ say where an edit is. The likeness of two fingerprints is the share of leaves that they have in
 common, counted with repeats (Dice). A text without any is one empty leaf.
 
-The next document by identifier is found by a window over ranges of identifiers, not over one partition: each range's first row
-also goes, as a guest, to the range before it in the order. The range table has at most MOST_RANGES rows.
+The next document by identifier is found by a window over ranges of the order, not over one partition. Ranges are cut at quantiles of a
+bounded sample of (identifier, first characters of the text), so they hold about equally many rows however identifiers are spread and
+whichever of them repeat. Each range's first row also goes, as a guest, to the range before it. A text is digested once, before the
+shuffle; its leaves and section digests cross it beside the text and serve it and the document that it follows.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.llm.shared import saved
+
 RANGE_ROWS = 512
-MOST_RANGES = 1 << 16
+MOST_RANGES = 1 << 14
+SAMPLES = 16  # rows of the sample for each range
+TIE_CHARS = 32
 DIGEST_CHARS = 32
 PARAGRAPH = r"\s(?<=[.!?]\s)\s*"  # blanks after . ! or ?; looks back only from a blank
 
@@ -34,8 +40,8 @@ def sections(tree: Column) -> Column:
     return F.transform(tree, lambda inner: digest(F.concat(F.lit("s"), F.array_join(inner, ""))))
 
 
-def root(tree: Column) -> Column:
-    return F.sha2(F.concat(F.lit("r"), F.array_join(sections(tree), "")).cast("binary"), 256)
+def root(sections_: Column) -> Column:
+    return F.sha2(F.concat(F.lit("r"), F.array_join(sections_, "")).cast("binary"), 256)
 
 
 def in_order(tree: Column) -> Column:
@@ -61,38 +67,67 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def changed_sections(one: Column, other: Column) -> Column:
-    """Places of sections, from 0, whose digests differ between two trees; places that only one has count."""
-    a, b = sections(one), sections(other)
-    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
-    return F.filter(places, lambda k: ~F.get(a, k).eqNullSafe(F.get(b, k)))
+    """Places, from 0, of the section digests that differ between two trees; places that only one has count."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(one), F.size(other)) - 1)
+    return F.filter(places, lambda k: ~F.get(one, k).eqNullSafe(F.get(other, k)))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fingerprint (the root), sections: the digests by which differing branches are found. A null text counts as empty."""
-    tree = leaves(F.coalesce(F.col(text_column), F.lit("")))
-    return docs.select(F.col(id_column).alias("doc_id"), root(tree).alias("fingerprint"), sections(tree).alias("sections"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), sections(leaves(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).alias("sections"))
+    return rows.select("doc_id", root(F.col("sections")).alias("fingerprint"), "sections")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): next by descending doc_id; after the last, the first. Null identifiers come last, equal ones by text.
+def _place() -> Column:
+    """Where a row stands in the order: identifiers descend, null ones come last, equal ones go by their texts, of which this knows the first characters.
 
-    doc_id must be an integer. One shuffle of the texts, by range; a few rows go twice.
+    A complement turns the order of all 64-bit integers round, where a difference or a negative would overflow.
     """
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(MOST_RANGES, count // RANGE_ROWS))))
-    rows = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long"))
-    # For each range that has rows, the one before it in descending order; the first has the last before it.
-    firsts = rows.groupBy("range").agg(F.max("doc_id").alias("first"))
-    order = Window.partitionBy().orderBy(F.col("range").desc())
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.min("range").over(Window.partitionBy())))
-    firsts = F.broadcast(firsts.select(F.col("range").alias("_range"), F.col("first"), "before"))  # at most MOST_RANGES + 1 rows
-    led = rows.join(firsts, (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not(F.col("doc_id").cast("long")).alias("turned"), F.substring("text", 1, TIE_CHARS).alias("tie"))
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """The rows with their place and their range: how many of the bounds are not beyond it."""
+    placed = rows.withColumn("place", _place())
+    count = rows.count()
+    ranges = min(MOST_RANGES, count // RANGE_ROWS)
+    if ranges < 2:
+        return placed.withColumn("range", F.lit(0))
+    # At most about SAMPLES * MOST_RANGES narrow rows; every SAMPLES-th of them is a bound.
+    sample = placed.filter(F.rand(7) < F.lit(SAMPLES * ranges / count)).agg(F.sort_array(F.collect_list("place")).alias("sample"))
+    bounds = saved(sample.select(F.lit(1).alias("one"), F.array_distinct(F.filter("sample", lambda _, k: k % SAMPLES == 0)).alias("bounds")), "merkle-bounds")
+    known = placed.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one")  # one row
+    halve = F.sequence(F.lit(1), F.lit(ranges.bit_length() + 2))
+    start = F.struct(F.lit(0).alias("low"), F.size("bounds").alias("high"))
+
+    def step(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        beyond = F.get("bounds", middle) > F.col("place")
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & ~beyond, middle + 1).otherwise(state["low"]).alias("low"), F.when(open_ & beyond, middle).otherwise(state["high"]).alias("high"))
+
+    return known.withColumn("range", F.aggregate(halve, start, step, lambda s: s["low"])).drop("one", "bounds")
+
+
+def with_next(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, carried columns, next_text, and next_ each of the carried): next by descending doc_id; after the last, the first.
+
+    Null identifiers come last, equal ones by text. doc_id must be an integer; all 64-bit ones are. One shuffle of the texts, by range; a
+    few rows go twice.
+    """
+    carried = carried or []
+    rows = _ranged(docs)
+    # For each range that has rows, the one before it; the first has the last before it.
+    firsts = rows.groupBy("range").agg(F.min("place").alias("first"))
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(Window.partitionBy().orderBy("range")), F.max("range").over(Window.partitionBy())))
+    firsts = F.broadcast(firsts.select(F.col("range").alias("_range"), "first", "before"))  # at most MOST_RANGES + 1 rows
+    led = rows.join(firsts, (F.col("range") == F.col("_range")) & F.col("place").eqNullSafe(F.col("first")), "left")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))
-    places = led.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("doc_id", "text", "at.range", "at.guest")
+    kept = ["doc_id", "text", *carried]
+    places = led.select(*kept, F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select(*kept, "at.range", "at.guest")
     following = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return places.withColumn("next_text", F.lead("text").over(following)).filter(~F.col("guest")).select("doc_id", "text", "next_text")
+    return places.select(*kept, "guest", *(F.lead(c).over(following).alias(f"next_{c}") for c in ("text", *carried))).filter(~F.col("guest")).drop("guest")
 
 
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -103,19 +138,25 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     single row is its own next. Other columns are dropped, so their names can't clash.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
+    trees = _with_leaves(rows, "text", "tree", "own", "sections")
+    pairs = with_next(trees, ["own", "sections"]).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    trees = pairs.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), leaves(F.col("text")).alias("tree"), leaves(edited).alias("edited_tree"), leaves(F.col("next_text")).alias("next_tree"))
-    sets = trees.select("*", in_order(F.col("tree")).alias("own"), in_order(F.col("edited_tree")).alias("edited"), in_order(F.col("next_tree")).alias("next"))
-    sets = sets.withColumns({c: numbered(F.col(c)) for c in ("own", "edited", "next")})
-    return sets.select(
+    pairs = pairs.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
+    both = _with_leaves(pairs, "edited_text", "edited_tree", "edited", "edited_sections")
+    return both.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        root(F.col("tree")).alias("fingerprint"),
-        root(F.col("edited_tree")).alias("edited_fingerprint"),
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        root(F.col("sections")).alias("fingerprint"),
+        root(F.col("edited_sections")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
-        changed_sections(F.col("tree"), F.col("edited_tree")).alias("changed_sections"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        changed_sections(F.col("sections"), F.col("edited_sections")).alias("changed_sections"),
     )
+
+
+def _with_leaves(rows: DataFrame, text: str, tree: str, numbered_: str, sections_: str) -> DataFrame:
+    """The rows with the numbered leaves and the section digests of a text; its tree is made once for both."""
+    held = rows.withColumn(tree, leaves(F.col(text)))
+    held = held.withColumns({numbered_: in_order(F.col(tree)), sections_: sections(F.col(tree))}).drop(tree)
+    return held.withColumn(numbered_, numbered(F.col(numbered_)))

@@ -48,17 +48,19 @@ WITH o AS (
   SELECT *, substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) AS edited FROM p
 ), every AS (
   SELECT k, n, 'own' AS which, text AS t FROM e UNION ALL SELECT k, n, 'edited', edited FROM e UNION ALL SELECT k, n, 'next', next_text FROM e
-), trees AS ({_LEAVES}), roots AS (
-  SELECT k, which, sha256('r' || array_to_string(list_transform(tree, lambda s: substring(sha256('s' || array_to_string(s, '')), 1, 32)), '')) AS root, len(flatten(tree)) AS leaves FROM trees
+), trees AS ({_LEAVES}), inner_nodes AS (
+  SELECT k, which, tree, list_transform(tree, lambda s: substring(sha256('s' || array_to_string(s, '')), 1, 32)) AS sections FROM trees
+), roots AS (
+  SELECT k, which, sections, sha256('r' || array_to_string(sections, '')) AS root, len(flatten(tree)) AS leaves FROM inner_nodes
 ), counted AS (
   SELECT k, which, leaf, count(*) AS c FROM (SELECT k, which, unnest(flatten(tree)) AS leaf FROM trees) GROUP BY ALL
 ), common AS (
   SELECT a.k, b.which, CAST(sum(least(a.c, b.c)) AS BIGINT) AS c FROM counted a JOIN counted b ON a.k = b.k AND a.leaf = b.leaf AND a.which = 'own' AND b.which <> 'own' GROUP BY ALL
 ), near AS (
-  SELECT o.k, x.which, x.root, 2 * coalesce(m.c, 0) / CAST(o.leaves + x.leaves AS DOUBLE) AS likeness
+  SELECT o.k, x.which, x.root, array_to_string(list_filter(range(greatest(len(o.sections), len(x.sections))), lambda i: o.sections[i + 1] IS DISTINCT FROM x.sections[i + 1]), ',') AS changed, 2 * coalesce(m.c, 0) / CAST(o.leaves + x.leaves AS DOUBLE) AS likeness
   FROM roots o JOIN roots x ON o.k = x.k AND o.which = 'own' AND x.which <> 'own' LEFT JOIN common m ON m.k = x.k AND m.which = x.which
 )
-SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, r.root AS fingerprint, a.root AS edited_fingerprint, a.likeness AS near_edited, b.likeness AS near_next
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, r.root AS fingerprint, a.root AS edited_fingerprint, a.likeness AS near_edited, b.likeness AS near_next, a.changed AS changed_sections
 FROM e JOIN roots r ON r.k = e.k AND r.which = 'own' JOIN near a ON a.k = e.k AND a.which = 'edited' JOIN near b ON b.k = e.k AND b.which = 'next'
 """
 

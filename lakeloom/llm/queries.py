@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, jaccard, langid, licenses, lm, media, merkle, mixing, oracles, quality, tokens
 
@@ -28,7 +29,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edited_fingerprints(documents(spark, sf_dir)).drop("changed_sections")
+    found = merkle.edited_fingerprints(documents(spark, sf_dir))
+    return found.withColumn("changed_sections", F.array_join("changed_sections", ","))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

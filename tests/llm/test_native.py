@@ -44,6 +44,28 @@ def test_fingerprints(spark, monkeypatch, rows):
         assert r.changed_sections == [n for n in range(max(len(a), len(b))) if a[n : n + 1] != b[n : n + 1]]
 
 
+HUGE = [2**63 - 1, 2**63 - 2, 5, 4, 3, 0, -7, -(2**63) + 1, -(2**63)]
+
+
+@pytest.mark.parametrize("ids", [HUGE, [k // 4 for k in range(60)], [None] * 30 + [9] * 30 + [1], [10**18 + k for k in range(70)] + [-(10**18)]], ids=["extreme", "repeated", "null", "outlying"])
+def test_next_rows(spark, monkeypatch, ids):
+    """Identifiers over all 64 bits, repeated, null and far from the others, in several ranges, some of one identifier."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 4)
+    monkeypatch.setattr(merkle, "SAMPLES", 2)
+    rows = [(i, f"text {k * 7 % 11} {k}") for k, i in enumerate(ids)]
+    found = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted((r.text, r.next_text) for r in found) == sorted((a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_ranges_hold_about_equally_many(spark):
+    """One identifier far out, clusters, and a third of all rows without one."""
+    ids = [None] * 10_000 + [k * k for k in range(10_000)] + [2**62 + k for k in range(9_999)] + [-(2**63)]
+    docs = spark.createDataFrame([(i, f"{k:06} text") for k, i in enumerate(ids)], "doc_id long, text string")
+    sizes = [r["count"] for r in merkle._ranged(docs).groupBy("range").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 4 * merkle.RANGE_ROWS
+
+
 LICENSED = [
     "Plain words only.",
     "Released under the MIT License.\nAnd the mit license again; MIT-License.",
