@@ -1,8 +1,9 @@
 """An exact n-gram Jaccard join by set relations, and its components.
 
-1. Documents with equal shingle sets are one node. Nodes are dealt into blocks; each block sends its shingles, sorted and packed, to
-   the partitions of the shingle space, where whole index lists meet: a shingle's document frequency is exact, over all nodes. Back to
-   the blocks go only the entries of shingles that two or more nodes have.
+1. Documents with equal shingle sets are one node, known by a 64-bit key of the set. A map over the documents sends the shingles of each
+   chunk's nodes, sorted and packed with the keys of their nodes, to the partitions of the shingle space, where whole index lists meet:
+   a shingle's document frequency is exact, over all nodes. What goes on from there, by node, is the entries of shingles that two or
+   more nodes have. Texts are never shuffled.
 2. Shingles are ordered by frequency, rarest first. A node's prefix, all but the last (needed overlap - 1) of its shingles, must meet
    the prefix of any partner. Shingles of one node alone come first and meet nothing, so most nodes have no prefix left at all, and
    what is left is known by its place in the order: the index lists hold prefix places only.
@@ -12,8 +13,8 @@
    (differences obey the triangle inequality): either no two members can link, and the pair of groups is skipped, or the roots link
    and the groups are one, or, seldom, the members that share a prefix shingle are compared each.
 
-Nothing is dropped or capped. A shingle is known by value_bits bits of a 64-bit hash; two shingles of one pair of documents coincide
-with a chance of about their number squared over 2**value_bits.
+Nothing is dropped or capped. A shingle is known by HASH_BITS bits, whatever the size of the table, and sets are made distinct by these; two
+shingles of one pair of documents coincide with a chance of about their number squared over 2**HASH_BITS.
 """
 
 from __future__ import annotations
@@ -25,18 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.llm import flat
 from lakeloom.llm.components import connected
-from lakeloom.llm.packed import pack, unpack
+from lakeloom.llm.packed import bits_of, from_bits, numbers, pack, small, unpack
 from lakeloom.llm.shared import saved, unused
 
 SHINGLE = 5
 PERCENT = 80
 HASH_BITS = 50
-PLACE_BITS = 14
-BLOCK_SHINGLES = 600_000
-BLOCK_NODES = 2_000
+SEND_BYTES = 12 << 20
+BLOCK_NODES = 4_000
 PART_SHINGLES = 1_500_000
 HUB_TURNS = 1
 HUBS = 2
@@ -46,7 +47,7 @@ _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct shingles as ascending HASH_BITS-bit values, and where each row's begin (rows + 1); at most 1 << PLACE_BITS rows.
+    """Each row's distinct shingles as ascending HASH_BITS-bit values, and where each row's begin (rows + 1); at most 1 << (64 - HASH_BITS) rows.
 
     A row of fewer words has its whole sequence as one shingle; one without words has none.
     """
@@ -117,131 +118,120 @@ def _measured(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(flat.tidy(run), "doc_id long, n long, node long")
 
 
-def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text, node of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat.flat(batch.column(1))
-            nodes = [node_keys(*shingle_sets(*flat.part(data, offsets, low, high), shingle)) for low, high in _cuts(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *nodes]))], ["doc_id", "text", "node"])
-
-    return rows.select("doc_id", "text").mapInArrow(flat.tidy(run), "doc_id long, text string, node long")
+def _edges(parts: int) -> np.ndarray:
+    return np.array([-(-(p << HASH_BITS) // parts) for p in range(1, parts)], np.uint64)
 
 
-def _dealt(rows: DataFrame, nodes: DataFrame, blocks: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(block, doc_id, text) of the rows, and the nodes with their block.
+def _sent(rows: DataFrame, parts: int, shingle: int) -> DataFrame:
+    """(part, entries, values, nodes, places): each chunk's shingles by the part of the shingle space, ascending; its nodes' keys, ascending; and for each shingle the place of its node among these."""
 
-    By identifier; where so many different texts share one that a block has no place for all its nodes, by node.
-    """
-    by_low = saved(nodes.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int")), "shingle-nodes")
-    if (by_low.groupBy("block").count().agg(F.max("count")).first()[0] or 0) <= 1 << PLACE_BITS:
-        return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"), by_low
-    by_node = saved(by_low.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")), "shingle-nodes")
-    own = by_node.select(F.col("low").alias("doc_id"), "node", F.col("block").alias("at"))
-    return _keyed(rows, shingle).join(own, ["doc_id", "node"]).select(F.col("at").alias("block"), "doc_id", "text"), by_node
-
-
-def _sent(texts: DataFrame, nodes: DataFrame, parts: int, bits: int, shingle: int) -> DataFrame:
-    """(block, part, keys): each block's shingles by the part of the shingle space, with the place of their node in the block."""
-
-    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
-        if not own.num_rows or not docs.num_rows:
-            return pa.table({"block": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
-        block = own.column("block")[0].as_py()
-        node = np.sort(own.column("node").to_numpy())
-        if len(node) > 1 << PLACE_BITS:
-            raise ValueError(f"{len(node)} different texts share an identifier's block")
-        wanted = np.isin(docs.column("doc_id").to_numpy(), own.column("low").to_numpy())
-        data, offsets = flat.flat(docs.filter(pa.array(wanted)).column("text"))
-        keys, had = [], np.zeros(len(node), bool)
-        for low, high in _cuts(offsets):
-            values, bounds = shingle_sets(*flat.part(data, offsets, low, high), shingle)
-            key = node_keys(values, bounds)
-            place = np.minimum(np.searchsorted(node, key), len(node) - 1)
-            for k in np.flatnonzero((node[place] == key) & (np.diff(bounds) > 0)):
-                if not had[place[k]]:  # repeated rows of one identifier
-                    had[place[k]] = True
-                    keys.append((values[bounds[k] : bounds[k + 1]] >> np.uint64(HASH_BITS - bits) << np.uint64(PLACE_BITS)) | np.uint64(place[k]))
-        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
-        edges = np.searchsorted(keys, np.array([(-(-(p << bits) // parts)) << PLACE_BITS for p in range(1, parts)], np.uint64))
-        pieces = np.split(keys, edges)
-        some = [p for p in range(parts) if len(pieces[p])]
-        return pa.table({"block": pa.array([block] * len(some), pa.int32()), "part": pa.array(some, pa.int32()), "keys": pa.array([pack(pieces[p]) for p in some], pa.binary())})
-
-    right = nodes.select("block", "node", "low")
-    return texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "block int, part int, keys binary")
-
-
-def _met(sent: DataFrame) -> DataFrame:
-    """(block, places, values, frequencies, leaders) for shingles of two nodes at least; each array of a row by value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(parts)
+        for batch in batches:
+            data, offsets = flat.flat(batch.column(0))
+            for low, high in flat.chunks(offsets, SEND_BYTES):
+                values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                known = np.zeros(0, np.uint64)
+                some = flat.part(data, offsets, low, high)
+                for a, b in _cuts(some[1]):
+                    own, bounds = shingle_sets(*flat.part(*some, a, b), shingle)
+                    key, sizes = node_keys(own, bounds).view(np.uint64), np.diff(bounds)
+                    new = np.zeros(len(key), bool)  # equal sets of the chunk are sent once
+                    new[np.unique(key, return_index=True)[1]] = True
+                    new &= (sizes > 0) & ~np.isin(key, known)
+                    known = np.concatenate([known, key[new]])
+                    values.append(own[np.repeat(new, sizes)])
+                    owners.append(np.repeat(key[new], sizes[new]))
+                order, sorted_ = flat.ordered(np.concatenate(values))
+                owner = np.concatenate(owners)[order]
+                del values, owners, order
+                at = np.concatenate([[0], np.searchsorted(sorted_, edges), [len(sorted_)]])
+                out: dict[str, list] = {k: [] for k in ("part", "entries", "values", "nodes", "places")}
+                for p in np.flatnonzero(np.diff(at)):
+                    nodes, place, _, _ = flat.distinct(owner[at[p] : at[p + 1]])
+                    for name, value in zip(out, (int(p), len(place), pack(sorted_[at[p] : at[p + 1]]), pack(nodes), bits_of(place, len(nodes).bit_length())), strict=True):
+                        out[name].append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), pa.array(out["entries"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("values", "nodes", "places"))], [*out])
+
+    return rows.select("text").mapInArrow(flat.tidy(run), "part int, entries long, values binary, nodes binary, places binary")
+
+
+def _met(sent: DataFrame, blocks: int) -> DataFrame:
+    """(block, nodes, counts, values, frequencies, leaders) for shingles of two nodes at least: nodes' keys, how many entries each has, and the entries, by node."""
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_numpy()
-        unpacked = [unpack(k) for k in table.column("keys").to_pylist()]
-        keys = np.concatenate(unpacked)
-        source = np.repeat(np.arange(len(unpacked)), [len(k) for k in unpacked])
-        del unpacked
-        value = keys >> np.uint64(PLACE_BITS)
-        place = (keys & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        del keys
-        order = np.argsort(value, kind="stable")
-        value, place, source = value[order], place[order], source[order]
+        value, node = [], []
+        for entries, values, nodes, places in zip(*(table.column(c).to_pylist() for c in ("entries", "values", "nodes", "places")), strict=True):
+            keys = unpack(nodes)
+            value.append(unpack(values))
+            node.append(keys[from_bits(places, entries, len(keys).bit_length()).astype(np.int64)])
+        order, value = flat.ordered(np.concatenate(value))
+        node = np.concatenate(node)[order]
         del order
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        sizes = np.diff(np.append(first, len(value)))
-        kept = np.repeat(sizes > 1, sizes)
-        value, place, source = value[kept], place[kept], source[kept]
-        sizes = sizes[sizes > 1]
-        owner = (blocks[source].astype(np.int64) << PLACE_BITS) | place
-        leader = np.repeat(np.minimum.reduceat(owner, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(sizes) else np.zeros(0, np.int64), sizes)
+        value, node, _ = _several(value, node)
+        order = np.lexsort((node, value))
+        value, node = value[order], node[order]
+        first = np.ones(len(value), bool)  # a set that stands in several chunks has come from each
+        first[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
+        value, node, sizes = _several(value[first], node[first])
+        leader = np.repeat(node[np.cumsum(sizes) - sizes], sizes)
         many = np.repeat(sizes, sizes)
-        back = np.argsort(source, kind="stable")
-        bounds = np.searchsorted(source[back], np.arange(len(blocks) + 1))
-        out: dict[str, list] = {"block": [], "values": [], "places": [], "frequencies": [], "leaders": []}
-        for k, block in enumerate(blocks):
-            mine = back[bounds[k] : bounds[k + 1]]
-            if len(mine):
-                out["block"].append(block)
-                out["values"].append(pack(value[mine]))
-                out["places"].append(place[mine].astype("<u2").tobytes())
-                out["frequencies"].append(many[mine].astype("<u4").tobytes())
-                out["leaders"].append(leader[mine].astype("<i8").tobytes())
-        return pa.table({"block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("values", "places", "frequencies", "leaders")}})
-
-    return sent.groupBy("part").applyInArrow(run, "block int, values binary, places binary, frequencies binary, leaders binary")
+        block = node.view(np.int64) % blocks
+        by_block = np.lexsort((value, node, block))
+        value, node, leader, many, block = (x[by_block] for x in (value, node, leader, many, block))
+        out: dict[str, list] = {k: [] for k in ("block", "nodes", "counts", "values", "frequencies", "leaders")}
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            begins = np.append(np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])), b - a)
+            for name, x in zip(out, (int(block[a]), pack(node[a:b][begins[:-1]]), small(np.diff(begins)), bits_of(value[a:b], HASH_BITS), small(many[a:b]), leader[a:b].astype("<u8").tobytes()), strict=True):
+                out[name].append(x)
+        return pa.table({"block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in out if k != "block"}})
+
+    return sent.groupBy("part").applyInArrow(run, "block int, nodes binary, counts binary, values binary, frequencies binary, leaders binary")
+
+
+def _several(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries, by value, of values that stand more than once, and how often each such value does."""
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(value)))
+    kept = np.repeat(sizes > 1, sizes)
+    return value[kept], node[kept], sizes[sizes > 1]
 
 
 def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes that share enough shingles to link with anything: owner, node, n, alone, shared (packed values), prefix (values in the order of frequency), leader, common.
+    """Nodes that share enough shingles to link with anything: owner (the node's key), n, alone, shared (packed values), prefix (values in the order of frequency), leader, common.
 
     alone counts the shingles that no other node has. common counts the shingles whose list the leader heads: at least so many are in both sets. leader is null where they are too few.
     """
-    schema = "owner long, node long, n long, alone long, shared binary, prefix binary, leader long, common long"
-    kinds = {"owner": pa.int64(), "node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(), "leader": pa.int64(), "common": pa.int64()}
+    schema = "owner long, n long, alone long, shared binary, prefix binary, leader long, common long"
+    kinds = {"owner": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(), "leader": pa.int64(), "common": pa.int64()}
 
     def run(lists: pa.Table, own: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in kinds}
         if lists.num_rows and own.num_rows:
-            block = own.column("block")[0].as_py()
-            order = np.argsort(own.column("node").to_numpy())
-            node, n = own.column("node").to_numpy()[order], own.column("n").to_numpy()[order]
-            value = np.concatenate([unpack(x) for x in lists.column("values").to_pylist()])
-            place = np.concatenate([np.frombuffer(x, "<u2") for x in lists.column("places").to_pylist()])
-            many = np.concatenate([np.frombuffer(x, "<u4") for x in lists.column("frequencies").to_pylist()])
-            leader = np.concatenate([np.frombuffer(x, "<i8") for x in lists.column("leaders").to_pylist()])
+            key = own.column("node").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            node, n = key[order], own.column("n").to_numpy()[order]
+            place, value, many, leader = [], [], [], []
+            for keys, counts, values, frequencies, leaders in zip(*(lists.column(c).to_pylist() for c in ("nodes", "counts", "values", "frequencies", "leaders")), strict=True):
+                keys = unpack(keys)
+                counts = numbers(counts, len(keys))
+                place.append(np.repeat(np.searchsorted(node, keys), counts))
+                value.append(from_bits(values, int(counts.sum()), HASH_BITS))
+                many.append(numbers(frequencies, len(value[-1])))
+                leader.append(np.frombuffer(leaders, "<u8"))
+            place, value, many, leader = (np.concatenate(x) for x in (place, value, many, leader))
             by_node = np.argsort(place, kind="stable")
             bounds = np.searchsorted(place[by_node], np.arange(len(node) + 1))
             need = needed(n)
             for k in np.flatnonzero(np.diff(bounds) >= need):
                 mine = by_node[bounds[k] : bounds[k + 1]]
-                owner = block << PLACE_BITS | int(k)
                 ranked = mine[np.lexsort((value[mine], many[mine]))]
                 heads, counts = np.unique(leader[mine], return_counts=True)
-                counts = np.where(heads == owner, 0, counts)
+                counts = np.where(heads == node[k], 0, counts)
                 best = int(counts.argmax())
                 enough = counts[best] >= need[k]
-                row = (owner, node[k], n[k], n[k] - len(mine), pack(np.sort(value[mine])), value[ranked[: len(mine) - need[k] + 1]].astype("<i8").tobytes(), int(heads[best]) if enough else None, int(counts[best]) if enough else None)
+                row = (int(node[k].view(np.int64)), n[k], n[k] - len(mine), pack(np.sort(value[mine])), value[ranked[: len(mine) - need[k] + 1]].astype("<i8").tobytes(), int(heads[best].view(np.int64)) if enough else None, int(counts[best]) if enough else None)
                 for name, x in zip(out, row, strict=True):
                     out[name].append(x)
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
@@ -342,24 +332,16 @@ def _compared(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(flat.tidy(run), kinds + ", overlap long")
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """n_shingles and component_id of each row, by links between sets whose Jaccard similarity is PERCENT / 100 or more.
-
-    Words are runs outside [\\x20\\x09-\\x0D] of the whole text, A-Z lower-cased. A text of fewer words than a shingle is one shingle; a
-    null text or one without words has none, links with nothing, and its component is its own identifier. Rows of one identifier (repeats)
-    count each; what one of them reaches, its text reaches, not the others. A null identifier has the component of its text if another row
-    has one, else null. Other columns are dropped, so their names can't clash. Identifiers are integers.
-    """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def _joined(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and node of each row (doc_id, text); and node, low (its smallest identifier) and component (any one label) of each set that has one."""
     measured = saved(_measured(rows, shingle), "shingle-sets")
-    nodes = measured.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"))
+    nodes = saved(measured.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")), "shingle-nodes")
     total, count = nodes.agg(F.sum("n"), F.count("*")).first()
-    blocks = max(1, math.ceil((total or 0) / BLOCK_SHINGLES), math.ceil(count / BLOCK_NODES))
-    parts = max(1, math.ceil((total or 0) / PART_SHINGLES))
-    bits = min(HASH_BITS, max(36, (total or 1).bit_length() + 18))
-    texts, nodes = _dealt(rows.filter("doc_id is not null"), nodes, blocks, shingle)
+    blocks, parts = max(1, math.ceil(count / BLOCK_NODES)), max(1, math.ceil((total or 0) / PART_SHINGLES))
+    dealt = nodes.withColumn("block", F.pmod(F.col("node"), F.lit(blocks)).cast("int"))
 
-    found = saved(_candidates(_met(_sent(texts, nodes, parts, bits, shingle)), nodes), "shingle-candidates")
+    sent = _sent(rows.filter("doc_id is not null"), parts, shingle)
+    found = saved(_candidates(_met(sent, blocks), dealt), "shingle-candidates")
     groups = _groups(found.select("owner", "n", "leader", "common"))
 
     # Groups that meet in a prefix list: most link by a hub of the list, so that a large group of near copies is one at once.
@@ -402,24 +384,57 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     if some(more):
         joined = connected(edges.union(more))
 
-    of_root = groups.join(joined, groups["root"] == joined["id"], "left").select("owner", F.coalesce("component", "root").alias("component"))
-    of_node = found.select("owner", "node").join(of_root, "owner").join(nodes.select("node", "low"), "node").select("node", "component", "low")
+    of_root = groups.join(joined, groups["root"] == joined["id"], "left").select(F.col("owner").alias("node"), F.coalesce("component", "root").alias("component"))
+    return measured, nodes.select("node", "low").join(of_root, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """n_shingles and component_id of each row, by links between sets whose Jaccard similarity is PERCENT / 100 or more.
+
+    Words are runs outside [\\x20\\x09-\\x0D] of the whole text, A-Z lower-cased. A text of fewer words than a shingle is one shingle; a
+    null text or one without words has none, links with nothing, and its component is its own identifier. Rows of one identifier (repeats)
+    count each; what one of them reaches, its text reaches, not the others. A null identifier has the component of its text if another row
+    has one, else null. Other columns are dropped, so their names can't clash. Identifiers are integers.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    measured, of_node = _joined(rows, shingle)
     least = of_node.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_node = of_node.join(least, "component").select("node", "component_id")
-    answer = nodes.select("node", "low").join(of_node, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    answer = of_node.join(least, "component").select("node", "component_id")
     out = measured.filter("n > 0").join(answer, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(measured.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, whole and with all their columns, of the smallest identifier of each component.
+def _with_node(docs: DataFrame, name: str, text_column: str, shingle: int) -> DataFrame:
+    """The rows with the key of their text's set; null where it is empty."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat.flat(batch.column(at).cast(pa.string()))
+            keys, some = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for low, high in _cuts(offsets):
+                values, bounds = shingle_sets(*flat.part(data, offsets, low, high), shingle)
+                keys.append(node_keys(values, bounds))
+                some.append(np.diff(bounds) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys), mask=~np.concatenate(some))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(flat.tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row, whole and with all its columns, of each component: that of the smallest identifier, and of its texts in the component the one whose set has the smallest key.
 
-    Of rows that repeat both identifier and text one stays. Rows without an identifier stay.
+    Of rows that repeat both identifier and text, and of texts that have one set, one stays, the same at every run: by the text, then by a
+    hash of the whole row. Texts without words, which link with nothing, stay, once for each identifier; so do all rows without an identifier.
     """
-    kept, again = unused(docs, "_kept"), unused(docs, "_again")
-    found = jaccard_components(docs, id_column, text_column)
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    rows = docs.filter(F.col(id_column).isNotNull()).join(firsts, F.col(id_column) == F.col(kept), "left_semi")
-    order = Window.partitionBy(id_column, F.xxhash64(text_column)).orderBy(id_column)
-    rows = rows.withColumn(again, F.row_number().over(order)).filter(F.col(again) == 1).drop(again)
-    return rows.unionByName(docs.filter(F.col(id_column).isNull()))
+    key, again = unused(docs, "_node"), unused(docs, "_again")
+    first_id, first_node = unused(docs, "_first_id"), unused(docs, "_first_node")
+    _, of_node = _joined(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")), shingle)
+    firsts = of_node.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first")).select(F.col("first.low").alias(first_id), F.col("first.node").alias(first_node))
+    rows = _with_node(docs, key, text_column, shingle)
+    kept = rows.filter(F.col(id_column).isNotNull() & F.col(key).isNotNull()).join(firsts, (F.col(id_column).cast("long") == F.col(first_id)) & (F.col(key) == F.col(first_node)), "left_semi")
+    kept = kept.unionByName(rows.filter(F.col(id_column).isNotNull() & F.col(key).isNull()))
+    hashed = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    order = Window.partitionBy(id_column, key).orderBy(F.col(text_column), F.xxhash64(*hashed))
+    kept = kept.withColumn(again, F.row_number().over(order)).filter(F.col(again) == 1)
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))

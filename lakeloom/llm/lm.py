@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, trie
 from lakeloom.llm.samples import remainder
-from lakeloom.llm.packed import bits_of, from_bits, pack, unpack
+from lakeloom.llm.packed import bits_of, from_bits, numbers, pack, small, unpack
 
 ORDER = 3
 STRENGTH = 60.0
@@ -56,17 +56,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, places
 
 
-def _small(values: np.ndarray) -> bytes:
-    """A byte a number; those from 255 on follow in eight bytes each."""
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
-
-
-def _numbers(data: bytes, size: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, size).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", -1, size)
-    return out
-
-
 def _edges(parts: int) -> np.ndarray:
     return np.array([-(-(p << KEY_BITS) // parts) for p in range(1, parts)], np.uint64)
 
@@ -163,7 +152,7 @@ def _asked(texts: DataFrame, parts: int, order: int) -> DataFrame:
         for p in np.flatnonzero(sent.sum(0)):
             at = [slice(c[p], c[p + 1]) for c in cuts]
             after = [last[grams.word[n - 1][at[n]]] for n in range(2, order)]
-            values = (int(p), sent[:, p].astype("<i8").tobytes(), pack(short[at[0]]), pack(grams.keys[at[1]]) if order > 1 else b"", _small(np.concatenate([k[a] for k, a in zip(kids, at[1:], strict=False)])) if kids else b"", bits_of(np.concatenate(after), AFTER_BITS) if after else b"", _small(np.concatenate([c[a] for c, a in zip(counts, at, strict=True)])))
+            values = (int(p), sent[:, p].astype("<i8").tobytes(), pack(short[at[0]]), pack(grams.keys[at[1]]) if order > 1 else b"", small(np.concatenate([k[a] for k, a in zip(kids, at[1:], strict=False)])) if kids else b"", bits_of(np.concatenate(after), AFTER_BITS) if after else b"", small(np.concatenate([c[a] for c, a in zip(counts, at, strict=True)])))
             for name, value in zip(out, values, strict=True):
                 out[name].append(value)
         block = pa.array([table.column("block")[0].as_py()] * len(out["part"]), pa.int32())
@@ -206,7 +195,7 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows, squeeze = table.num_rows, pa.Codec("zstd")  # most n-grams stand once, so most codes are alike
         sent = np.stack([np.frombuffer(x, "<i8") for x in table.column("entries").to_pylist()])
-        counted = [_numbers(x, int(n)) for x, n in zip(table.column("counts").to_pylist(), sent.sum(1), strict=True)]
+        counted = [numbers(x, int(n)) for x, n in zip(table.column("counts").to_pylist(), sent.sum(1), strict=True)]
         counts = [np.concatenate([c[a:b] for c, a, b in zip(counted, sent[:, :n].sum(1), sent[:, : n + 1].sum(1), strict=True)]) for n in range(order)]
         del counted
         _, place, total = _summed(np.concatenate([unpack(x) for x in table.column("words").to_pylist()]), counts[0])
@@ -215,7 +204,7 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
         if order > 1:
             roots, entry, root_counts = _summed(np.concatenate([unpack(x) for x in table.column("pairs").to_pylist()]), counts[1])
             entries, levels = [entry], []
-            kids = [_numbers(x, int(n)) for x, n in zip(table.column("kids").to_pylist(), sent[:, 1 : order - 1].sum(1), strict=True)]
+            kids = [numbers(x, int(n)) for x, n in zip(table.column("kids").to_pylist(), sent[:, 1 : order - 1].sum(1), strict=True)]
             after = [from_bits(x, int(n), AFTER_BITS) for x, n in zip(table.column("after").to_pylist(), sent[:, 2:].sum(1), strict=True)]
             words, word, _, _ = flat.distinct(np.concatenate(after))
             word = np.split(word, np.cumsum(sent[:-1, 2:].sum(1)))
@@ -241,7 +230,7 @@ def _answered(asked: DataFrame, order: int, discount: float) -> DataFrame:
                 code = np.zeros(len(found[n]), np.uint16)
                 code[found[n] >= 0] = held[found[n][found[n] >= 0]]
                 codes.append(np.split(code[entries[n]], np.cumsum(sent[:-1, n + 1])))
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([_small(x) for x in told], pa.binary()), "codes": pa.array([squeeze.compress(b"".join(c[k].astype("<u2").tobytes() for c in codes), asbytes=True) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array([small(x) for x in told], pa.binary()), "codes": pa.array([squeeze.compress(b"".join(c[k].astype("<u2").tobytes() for c in codes), asbytes=True) for k in range(rows)], pa.binary()), "entries": table.column("entries")})
 
     return asked.groupBy("part").applyInArrow(run, "block int, part int, counts binary, codes binary, entries binary")
 
@@ -318,7 +307,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         grams = Grams(known, ids, places, order)
         pieces = answer.sort_by("part")
         sent = np.stack([np.frombuffer(x, "<i8") for x in pieces.column("entries").to_pylist()])
-        counts = np.concatenate([_numbers(x, int(n)) for x, n in zip(pieces.column("counts").to_pylist(), sent[:, 0], strict=True)])
+        counts = np.concatenate([numbers(x, int(n)) for x, n in zip(pieces.column("counts").to_pylist(), sent[:, 0], strict=True)])
         sizes = np.concatenate([sent[:, 1:], sent[:, 1:-1]], axis=1)
         told = [np.frombuffer(pa.Codec("zstd").decompress(x, 2 * int(n), asbytes=True), "<u2") if n else np.zeros(0, "<u2") for x, n in zip(pieces.column("codes").to_pylist(), sizes.sum(1), strict=True)]
         codes = [np.concatenate([c[a:b] for c, a, b in zip(told, sizes[:, :n].sum(1), sizes[:, : n + 1].sum(1), strict=True)]) for n in range(sizes.shape[1])]

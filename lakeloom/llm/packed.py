@@ -28,6 +28,17 @@ def from_bits(data: bytes, count: int, width: int) -> np.ndarray:
     return (out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
 
 
+def small(values: np.ndarray) -> bytes:
+    """A byte a number; those from 255 on follow in eight bytes each."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<i8").tobytes()
+
+
+def numbers(data: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", -1, size)
+    return out
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Ascending uint64 keys, repeats allowed: a few as they are; more as the first one and the Elias-Fano coded distances from it."""
     if len(keys) < FEW:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from lakeloom.llm import jaccard
@@ -94,10 +95,27 @@ def test_one_of_each(spark):
 
 
 def test_many_texts_of_one_identifier(spark):
-    """More different texts of one identifier than a block has places for."""
-    texts = [f"w{k} x{k} a b c d e" for k in range((1 << jaccard.PLACE_BITS) + 500)]
+    """20,000 different texts of one identifier."""
+    texts = [f"w{k} x{k} a b c d e" for k in range(20_000)]
     long = " ".join(f"l{k}" for k in range(100))
     rows = [(7, t) for t in [*texts, long]] + [(8, f"{long} more"), (3, "quite another text of its own"), (9, "w5 x5 a b c d e")]
-    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.jaccard_components(df).collect()
     assert len(found) == len(rows) and {(r.doc_id, r.component_id) for r in found} == {(7, 7), (8, 7), (3, 3), (9, 7)}
     assert sorted(r.n_shingles for r in found) == sorted([3] * (len(texts) + 1) + [96, 97, 2])
+    # Each text is a component of its own, but for the last two that link.
+    kept = jaccard.one_of_each(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, t) for t in [*texts, long]] + [(3, "quite another text of its own")])
+
+
+def test_repeated_rows_stay_once_and_the_same(spark):
+    """Of rows that repeat identifier and text, and of texts of one set, one; of a row's texts that lead no component, none."""
+    rows = [(1, "a b c d e f", s) for s in "xyz"] * 2 + [(1, "A B C D E F", "v"), (1, "g h i j k l m", "w"), (0, "g h i j k l m", "q"), (2, "", "e"), (2, "", "f"), (None, "a b c d e f", "n"), (None, "a b c d e f", "n")]
+    runs = [sorted(((-1 if r.doc_id is None else r.doc_id, r.text.lower(), r.other) for r in jaccard.one_of_each(spark.createDataFrame(rows[::step], "doc_id long, text string, other string").repartition(parts)).collect())) for step, parts in ((1, 1), (-1, 3), (1, 4))]
+    assert runs[0] == runs[1] == runs[2]
+    assert [r[:2] for r in runs[0]] == [(-1, "a b c d e f")] * 2 + [(0, "g h i j k l m"), (1, "a b c d e f"), (2, "")]
+
+
+def test_sets_are_distinct_by_their_values():
+    values, bounds = jaccard.shingle_sets(np.frombuffer(b"a b c d e a b c d e a b c d e", np.uint8), np.array([0, 29]))
+    assert len(values) == len(set(values.tolist())) == bounds[-1] == 5 and int(values.max()) < 1 << jaccard.HASH_BITS

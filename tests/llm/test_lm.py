@@ -113,7 +113,7 @@ def test_successors_stay_in_their_context():
 
 def test_counts_beyond_32_bits():
     values = np.array([0, 3, 254, 255, 5_000_000_000, 1 << 40])
-    assert (lm._numbers(lm._small(values), len(values)) == values).all()
+    assert (packed.numbers(packed.small(values), len(values)) == values).all()
 
 
 def test_a_text_that_stands_twice_scores_higher(spark):
