@@ -10,7 +10,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakeloom.accounts import User
+from lakeloom.errors import EngineError, LockTimeout
+from lakeloom.functions import passwords
+from lakeloom.functions.passwords import hashed
 from lakeloom.operators.select import union_distinct
 from lakeloom.session import Engine, Session
 from lakeloom.sources.files import shared_folder
@@ -220,6 +225,163 @@ OTHERS: dict[str, tuple[Query, str]] = {
 }
 
 
+def outcome(session: Session, sql: str) -> str:
+    """What a statement ends with: how many rows it touched, or its message."""
+    try:
+        return str(session.execute(sql).affected_rows)
+    except EngineError as error:
+        return str(error)
+
+
+def outcomes(*statements: str) -> Query:
+    """(step, outcome) of each statement, one after another."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = prepared(spark).session()
+        return spark.createDataFrame([(k, outcome(session, sql)) for k, sql in enumerate(statements)], "step int, outcome string")
+
+    return run
+
+
+def values(columns: str, *rows: tuple) -> str:
+    """The rows as SQL."""
+    written = ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {written}) v({columns})"
+
+
+def alter_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is let in after ALTER USER: by name, by the host pattern of a user, by password."""
+    made, rows = prepared(spark), []
+    made.user = User("root", "10.0.%", hashed(""))
+    made.session().execute("ALTER USER 'root'@'10.0.%' IDENTIFIED BY 'secret';")
+    for user, host, password in (("root", "10.0.7.1", "secret"), ("root", "10.1.7.1", "secret"), ("root", "10.0.7.1", "wrong"), ("other", "10.0.7.1", "secret")):
+        try:
+            rows.append((user, host, password, made.connect(user, host, password).ping().kind))
+        except EngineError as error:
+            rows.append((user, host, password, str(error)))
+    return spark.createDataFrame(rows, "user_name string, host string, password string, outcome string")
+
+
+def auth_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which scrambles prove a password to a server that keeps its double hash."""
+    nonce, rows = bytes(range(1, 21)), []
+    for said, kept in (("secret", "secret"), ("secret", "other"), ("", ""), ("", "secret"), ("secret", "")):
+        rows.append((said, kept, passwords.scramble_fits(passwords.scramble(said, nonce), passwords.double_hash(kept), nonce)))
+    rows.append(("an old nonce", "secret", passwords.scramble_fits(passwords.scramble("secret", nonce[::-1]), passwords.double_hash("secret"), nonce)))
+    return spark.createDataFrame(rows, "said string, kept string, admitted boolean")
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, rows = prepared(spark).session(), []
+    for name, text in (("ping", ""), ("query", "SELECT * FROM regions;"), ("query", "SELECT nothing;"), ("dance", ""), ("quit", "")):
+        try:
+            found = session.command(name, text)
+            rows.append((name, "" if found is None else found.kind))
+        except EngineError as error:
+            rows.append((name, str(error) if name == "dance" else "refused"))
+    return spark.createDataFrame(rows, "command string, outcome string")
+
+
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table and column of each of a result's columns."""
+    found = prepared(spark).session().execute("SELECT * FROM regions JOIN nations ON nations.region_id = regions.id;")
+    return spark.createDataFrame([(k, found.kind, t, c) for k, (t, c) in enumerate(found.columns)], "position int, kind string, table_name string, column_name string")
+
+
+def row_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row that another session changes can be read, not changed, until that ends; other rows can."""
+    made = prepared(spark)
+    made.locks.timeout = 0.2
+    a, b = made.session(), made.session()
+    steps = [(a, "BEGIN;"), (a, "UPDATE nations SET name = 'A' WHERE id = '3';"), (b, "UPDATE nations SET name = 'B' WHERE id = '3';"), (b, "UPDATE nations SET name = 'C' WHERE id = '4';"), (b, "DELETE FROM regions WHERE id = '2';"), (a, "COMMIT;"), (b, "UPDATE nations SET name = 'B' WHERE id = '3';")]
+    return spark.createDataFrame([(k, outcome(session, sql)) for k, (session, sql) in enumerate(steps)], "step int, outcome string")
+
+
+def disconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session that closes leaves nothing of its transaction, nor its locks."""
+    made = prepared(spark)
+    with made.session() as session:
+        _said(session, "BEGIN;", _NEW, "DELETE FROM nations WHERE id = '0';")
+    return _said(made.session(), "UPDATE nations SET name = 'KENYA' WHERE id = '0';").query("SELECT * FROM nations;")
+
+
+def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after what nobody needs has been removed from disk, and whether something was."""
+    made = prepared(spark)
+    session = made.session()
+    outcome(session, "UPDATE nations SET name = 'X';")  # refused; what it wrote is left behind
+    session.execute("DELETE FROM nations WHERE id > '2';")
+    removed = made.vacuum(0) > 0
+    return session.query("SELECT * FROM nations;").withColumn("removed", F.lit(removed))
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was committed is there for an engine that is opened later; what was not is gone."""
+    made = prepared(spark)
+    _said(made.session(), _NEW)
+    _said(made.session(), "BEGIN;", "DELETE FROM nations;")
+    return Engine(spark, made.store.files.root).session().query("SELECT * FROM nations;")
+
+
+def stats_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prepared(spark)
+    _said(made.session(), _NEW, "DELETE FROM nations WHERE id = '0';", "UPDATE nations SET region_id = '2' WHERE id = '1';")
+    return made.storage_stats().select("table_name", "base_layers", "delta_layers", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def stats_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics before and after a change, as the engine keeps them."""
+    made = prepared(spark)
+    rows = [("before", *r) for r in made.analyze("nations")]
+    _said(made.session(), "DELETE FROM nations WHERE region_id = '1';")
+    rows += [("after", *r) for r in made.analyze("nations")]
+    return spark.createDataFrame(rows, "time string, column_name string, value long, low string, high string")
+
+
+def txn_composite_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a part of a key is set, the place that a row lands on is locked; after the commit it is taken."""
+    made = prepared(spark)
+    made.locks.timeout = 0.2
+    a, b = made.session(), made.session()
+    _said(a, "CREATE TABLE t (a VARCHAR, b VARCHAR, c VARCHAR, PRIMARY KEY (a, b));", "INSERT INTO t (a, b, c) VALUES ('o', '1', 'old');", "BEGIN;", "UPDATE t SET a = 'x' WHERE b = '1';")
+    insert = "INSERT INTO t (a, b, c) VALUES ('x', '1', 'new');"
+    said = [outcome(b, insert), outcome(a, "COMMIT;"), outcome(b, insert)]
+    return b.query("SELECT * FROM t;").withColumn("said", F.lit("; ".join(said)))
+
+
+def insert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of many one-row changes, and whether their layers stayed few."""
+    made = prepared(spark)
+    session = made.session()
+    for k in range(18):
+        session.execute(f"INSERT INTO regions (id, name) VALUES ('r{k:02}', 'R{k}');")
+    return session.query("SELECT * FROM regions;").withColumn("few", F.lit(len(made.store.head.of("regions").base) <= 8))
+
+
+_WAIT = str(LockTimeout())
+_REGIONS = [(a, b) for a, b in REGIONS]
+OTHERS |= {
+    "set_ignored": (changing("SET autocommit = 1;", "SET NAMES utf8mb4;"), f"SELECT * FROM {_START}"),
+    "refused_symbols": (outcomes(*(f"DELETE FROM nations WHERE id {op} '1';" for op in ("<>", "=<", "=>", "=!"))), values("step, outcome", *((k, f"unsupported operator in WHERE clause: {op}") for k, op in enumerate(("<>", "=<", "=>", "=!"))))),
+    "refused_shapes": (outcomes("DELETE FROM nations WHERE id = name;", "DELETE FROM nations WHERE nothing = '1';", "SELECT id FROM nations JOIN regions ON nations.region_id = regions.id;", "SELECT * FROM nations JOIN regions ON nations.region_id = regions.id OR nations.id = regions.id;"), values("step, outcome", (0, "when LHS is a column, RHS must be a literal"), (1, "column nothing not found in table nations"), (2, "ambiguous column name: id"), (3, "unsupported ON condition structure"))),
+    "alter_user": (alter_user, values("user_name, host, password, outcome", ("root", "10.0.7.1", "secret", "ok"), ("root", "10.1.7.1", "secret", "access denied for user 'root'@'10.1.7.1'"), ("root", "10.0.7.1", "wrong", "access denied for user 'root'@'10.0.7.1'"), ("other", "10.0.7.1", "secret", "access denied for user 'other'@'10.0.7.1'"))),
+    "auth_scramble": (auth_scramble, values("said, kept, admitted", ("secret", "secret", True), ("secret", "other", False), ("", "", True), ("", "secret", False), ("secret", "", False), ("an old nonce", "secret", False))),
+    "commands": (commands, values("command, outcome", ("ping", "ok"), ("query", "rows"), ("query", "refused"), ("dance", "Unknown command"), ("quit", ""))),
+    "envelope": (envelope, values("position, kind, table_name, column_name", (0, "rows", "regions", "id"), (1, "rows", "regions", "name"), (2, "rows", "nations", "id"), (3, "rows", "nations", "name"), (4, "rows", "nations", "region_id"))),
+    "unique_refused": (outcomes("INSERT INTO nations (id, name, region_id) VALUES ('7', 'CHINA', '2');", "UPDATE nations SET name = 'CHINA' WHERE id = '1';", "UPDATE nations SET name = 'ALL';", "UPDATE nations SET name = 'CHINA' WHERE id = '3';", "INSERT INTO nations (id, name, region_id) VALUES ('3', 'NEW', '2');"), values("step, outcome", *((k, "1" if k == 3 else "duplicate key in table nations") for k in range(5)))),
+    "fk_refused": (outcomes("INSERT INTO nations (id, name, region_id) VALUES ('7', 'NEW', '99');", "UPDATE nations SET region_id = '98' WHERE id = '1';", "DELETE FROM regions WHERE id = '1';", "UPDATE regions SET id = '9' WHERE id = '1';", "UPDATE regions SET name = 'NEW' WHERE id = '1';", "UPDATE nations SET region_id = '3' WHERE id = '1';"), values("step, outcome", (0, "cannot add or update a child row: a foreign key constraint fails (value '99')"), (1, "cannot add or update a child row: a foreign key constraint fails (value '98')"), (2, "cannot delete or update a parent row: a foreign key constraint fails"), (3, "cannot delete or update a parent row: a foreign key constraint fails"), (4, "1"), (5, "1"))),
+    "affected_rows": (outcomes(_NEW, "UPDATE nations SET region_id = '1' WHERE id < '2';", "UPDATE nations SET region_id = '1' WHERE id < '0';", "DELETE FROM nations WHERE region_id = '1';", "DELETE FROM nations;"), values("step, outcome", (0, "1"), (1, "4"), (2, "0"), (3, "5"), (4, "2"))),
+    "row_locks": (row_locks, values("step, outcome", (0, "0"), (1, "1"), (2, _WAIT), (3, "1"), (4, "cannot delete or update a parent row: a foreign key constraint fails"), (5, "0"), (6, "1"))),
+    "disconnect": (disconnect, f"SELECT id, CASE WHEN id = '0' THEN 'KENYA' ELSE name END AS name, region_id FROM {_START}"),
+    "purge": (purge, f"SELECT *, true AS removed FROM {_START} WHERE id <= '2'"),
+    "reopened": (reopened, f"SELECT * FROM {_START} UNION ALL SELECT '11', 'GERMANY', '3'"),
+    "stats_storage": (stats_storage, values("table_name, base_layers, delta_layers, has_files, has_bytes", ("regions", 1, 0, True, True), ("nations", 2, 2, True, True))),
+    "stats_again": (stats_again, values("time, column_name, value, low, high", ("before", "", 6, None, None), ("before", "id", 6, "0", "4"), ("before", "name", 6, "ALGERIA", "FRANCE"), ("before", "region_id", 5, "0", "4"), ("after", "", 4, None, None), ("after", "id", 4, "0", "4"), ("after", "name", 4, "ALGERIA", "FRANCE"), ("after", "region_id", 4, "0", "4"))),
+    "txn_composite_pk": (txn_composite_pk, values("a, b, c, said", ("x", "1", "old", f"{_WAIT}; 0; duplicate key in table t"))),
+    "insert_many": (insert_many, values("id, name, few", *((a, b, True) for a, b in [*_REGIONS, *((f"r{k:02}", f"R{k}") for k in range(18))]))),
+}
+
+
 def queries() -> dict[str, Query]:
     found = {name: reading(sql, *tables.split()) for name, tables, sql, _ in SELECTS}
     return found | {name: query for name, (query, _) in (CHANGES | OTHERS).items()}
