@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lakeloom.llm import flat
 from lakeloom.llm.components import connected
 from lakeloom.llm.packed import bits_of, from_bits, numbers, pack, small, unpack
-from lakeloom.llm.shared import saved, unused
+from lakeloom.llm.shared import saved, saved_alone, unused
 
 SHINGLE = 5
 PERCENT = 80
@@ -335,6 +335,10 @@ def _compared(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 def _joined(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, n and node of each row (doc_id, text); and node, low (its smallest identifier) and component (any one label) of each set that has one."""
     measured = saved(_measured(rows, shingle), "shingle-sets")
+    return measured, saved_alone(lambda: _labels(rows, measured, shingle), "shingle-components")
+
+
+def _labels(rows: DataFrame, measured: DataFrame, shingle: int) -> DataFrame:
     nodes = saved(measured.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")), "shingle-nodes")
     total, count = nodes.agg(F.sum("n"), F.count("*")).first()
     blocks, parts = max(1, math.ceil(count / BLOCK_NODES)), max(1, math.ceil((total or 0) / PART_SHINGLES))
@@ -385,7 +389,7 @@ def _joined(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
         joined = connected(edges.union(more))
 
     of_root = groups.join(joined, groups["root"] == joined["id"], "left").select(F.col("owner").alias("node"), F.coalesce("component", "root").alias("component"))
-    return measured, nodes.select("node", "low").join(of_root, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    return nodes.select("node", "low").join(of_root, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
