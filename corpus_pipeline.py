@@ -6,11 +6,13 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import bpe, jaccard, langid, mixing, quality
 from lakeloom.llm.queries import vocabulary
-from lakeloom.llm.shared import saved
+from lakeloom.llm.shared import saved_alone
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages, each to what the one before wrote, to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = saved_alone(partial(stage, spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
