@@ -133,8 +133,10 @@ def _schedule(owed: DataFrame) -> DataFrame:
     hits = points.join(cells, "cell").filter("point >= low and point < high")
     ranked = running_start(hits.select("slot", "s").withColumn("one", F.lit(1)), "s", F.expr(f"slot div {SLOT_RUN}"), [F.col("slot")], "one", "rank")
     ranked = ranked.join(owed.select(F.col("s").alias("_s"), "slots"), F.col("s") == F.col("_s")).filter("rank < slots").select("slot", "s", "rank")
-    # The points miss a source's share by a few slots at most; those stand after the others.
+    # The points miss a source's share by a few slots at most; those stand after the others, source by source.
     had = ranked.groupBy("s").agg(F.count("*").alias("had"))
     short = owed.join(had, "s", "left").select("s", "slots", F.coalesce("had", F.lit(0)).alias("had")).filter("had < slots")
-    rest = short.select(F.lit(None).cast("long").alias("slot"), "s", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("rank"))
-    return ranked.unionByName(rest)
+    after = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    short = short.withColumn("first", F.lit(total + 1) + F.coalesce(F.sum(F.col("slots") - F.col("had")).over(after), F.lit(0)))
+    rest = short.select("s", "had", "first", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("rank"))
+    return ranked.unionByName(rest.select((F.col("first") + F.col("rank") - F.col("had")).cast("long").alias("slot"), "s", "rank"))
