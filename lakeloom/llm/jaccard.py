@@ -36,7 +36,7 @@ from lakeloom.llm.shared import saved, saved_alone, unused
 SHINGLE = 5
 PERCENT = 80
 HASH_BITS = 50
-SEND_BYTES = 12 << 20
+SEND_BYTES = 6 << 20
 BLOCK_NODES = 4_000
 PART_SHINGLES = 1_500_000
 HUB_TURNS = 1
@@ -167,7 +167,7 @@ def _met(sent: DataFrame, blocks: int) -> DataFrame:
             node.append(keys[from_bits(places, entries, len(keys).bit_length()).astype(np.int64)])
         order, value = flat.ordered(np.concatenate(value))
         node = np.concatenate(node)[order]
-        del order
+        del order, table
         value, node, _ = _several(value, node)
         order = np.lexsort((node, value))
         value, node = value[order], node[order]

@@ -2,6 +2,9 @@
 
 import base64
 import hashlib
+import os
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -80,3 +83,25 @@ def test_queries(spark, monkeypatch, size):
         assert found[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert found[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert counts[k].n_bytes == len(text.encode()) and counts[k].over_limit == (counts[k].n_tokens > 512)
+
+
+MEMORY = """
+import resource, sys
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from lakeloom.llm import bpe
+from lakeloom.llm.queries import vocabulary
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+made = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(120)), lambda k: F.conv(F.pmod(F.xxhash64("id", k), F.lit(1 << 34)).cast("string"), 10, 36))).alias("text"))
+bpe.encode_documents(made.repartition(1), vocabulary("byte_bpe_multi_50k.tiktoken"), with_ids=True).write.format("noop").mode("overwrite").save()
+peak = lambda batches: (pa.RecordBatch.from_pydict({"kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]}) for _ in batches)
+print("PEAK", spark.range(1).repartition(1).mapInArrow(peak, "kb long").first().kb // 1024)
+"""
+
+
+def test_a_worker_that_gives_ids_stays_small():
+    """Megabytes at the most of a Python worker over 25 MB of texts whose words hardly repeat; the libraries and the batch take about half."""
+    found = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.getcwd()})
+    assert 50 < int(found.stdout.split("PEAK")[1]) < 330
