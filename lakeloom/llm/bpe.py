@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm import flat, pretokens
 
 #: What a worker's memos may hold; they are emptied beyond.
-MEMO_BYTES = 12 << 20
+MEMO_BYTES = 40 << 20
 ENTRY_BYTES = 160  # of a dictionary's place, key and value, besides a piece's bytes and ids
 LONGEST_KEPT = 32
 
