@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import flat, pretokens
 
-#: What a worker's memos may hold; they are emptied beyond.
+#: What each of a worker's two memos may hold, unless said otherwise; one is emptied beyond. Less memory costs more time; results are the same.
 MEMO_BYTES = 40 << 20
 ENTRY_BYTES = 160  # of a dictionary's place, key and value, besides a piece's bytes and ids
 LONGEST_KEPT = 32
@@ -45,7 +45,7 @@ class Codec:
         self.shorter = {rank: self._prefix(token) for token, rank in self.ranks.items()}
         self.fits_memo: dict[int, bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.held = 0  # bytes of memo
+        self.held, self.memo_bytes = 0, MEMO_BYTES  # bytes of memo, and the most of them
 
     def _prefix(self, token: bytes) -> int:
         """The longest token that is a proper prefix, or -1."""
@@ -69,7 +69,7 @@ class Codec:
         pair = left << 32 | right
         known = self.fits_memo.get(pair)
         if known is None:
-            if len(self.fits_memo) * ENTRY_BYTES > MEMO_BYTES:
+            if len(self.fits_memo) * ENTRY_BYTES > self.memo_bytes:
                 self.fits_memo.clear()
             known = self.fits_memo[pair] = self._fits(left, right)
         return known
@@ -133,7 +133,7 @@ class Codec:
         if ids is None:
             ids = self.encode_piece(piece)
             if len(piece) <= LONGEST_KEPT:
-                if self.held > MEMO_BYTES:
+                if self.held > self.memo_bytes:
                     self.memo.clear()
                     self.held = 0
                 self.memo[piece] = ids
@@ -168,7 +168,7 @@ def _taken(values: list[bytes], codes: np.ndarray) -> tuple[memoryview, np.ndarr
     return memoryview(pc.take(held, pa.array(codes)).buffers()[2] or b""), places
 
 
-def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Ids of each row's whole text, their digest, and the digest of the bytes that decoding these ids gives.
 
     Returns doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256, and ids array<int> unless
@@ -181,6 +181,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         begins = pretokens.starts(data, offsets)
         codes, pieces = pretokens.encoded(data, begins) if len(begins) else (np.zeros(0, np.int64), [])
         own = codec(path)
+        own.memo_bytes = memo_bytes
         encoded = [own.encode(p) for p in pieces]
         bounds = np.searchsorted(begins, offsets)
         lengths = np.array([len(x) for x in encoded], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
