@@ -15,6 +15,10 @@ from lakeloom.llm.queries import vocabulary
 from lakeloom.llm.shared import saved_alone
 
 
+#: Of the encoder's memos: executors are fuller after four stages than before a single query.
+MEMO_BYTES = 12 << 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -37,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each document of the mix."""
-    return bpe.encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), memo_bytes=MEMO_BYTES)
 
 
 STAGES = [
