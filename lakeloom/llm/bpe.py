@@ -160,6 +160,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _drop() -> None:
+    codec.cache_clear()
+
+
 def _taken(values: list[bytes], codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The coded values one after another, and the byte place of each."""
     held = pa.array(values, pa.large_binary())
@@ -208,4 +212,4 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         codec(path).forget()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(flat.tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(flat.tidy(run, _drop), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -18,24 +19,42 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RADIX_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+_held: Callable[[], None] | None = None  # by what the worker's tasks have left
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that gives free memory back after each task, as workers outlive tasks and stages."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that gives free memory back after each task, as workers outlive tasks and stages.
+
+    What a task leaves in its worker for the next one, `holds` drops; that happens when the worker gets a task of another operator.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _taken_over(holds)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return tidied
 
 
+def _taken_over(holds: Callable[[], None] | None) -> None:
+    """A module's function, as tidied() is sent to workers by value and its globals would be its own."""
+    global _held
+    if _held is not None and _held is not holds:
+        _held()
+    _held = holds
+
+
+def give_back() -> None:
+    """Free memory that the allocators hold goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes as one uint8 array, and its int64 row offsets (one more than rows)."""
     if isinstance(column, pa.ChunkedArray):
@@ -61,6 +80,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in slices of at most so many bytes of a text column each, so that what is made of one is small; a longer row stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for low, high in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), most):
+        yield batch.slice(low, high - low)
+
+
 def part(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
@@ -93,7 +119,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _power(count: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < count:
         for k, by in enumerate((_RADIX, _RADIX_INVERSE)):
-            grown = np.full(max(count, CHUNK_BYTES + 2), by, np.uint64)
+            grown = np.full(1 << count.bit_length(), by, np.uint64)
             grown[0] = 1
             _powers[k] = np.cumprod(grown)
     return _powers[0][:count], _powers[1][:count]

@@ -37,6 +37,7 @@ SHINGLE = 5
 PERCENT = 80
 HASH_BITS = 50
 SEND_BYTES = 6 << 20
+CUT_BYTES = 1 << 18  # of texts whose shingles are made at once
 BLOCK_NODES = 4_000
 PART_SHINGLES = 1_500_000
 HUB_TURNS = 1
@@ -88,7 +89,7 @@ def node_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _cuts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    for low, high in flat.chunks(offsets):
+    for low, high in flat.chunks(offsets, CUT_BYTES):
         for start in range(low, high, 1 << (64 - HASH_BITS)):
             yield start, min(high, start + (1 << (64 - HASH_BITS)))
 
@@ -165,9 +166,10 @@ def _met(sent: DataFrame, blocks: int) -> DataFrame:
             keys = unpack(nodes)
             value.append(unpack(values))
             node.append(keys[from_bits(places, entries, len(keys).bit_length()).astype(np.int64)])
+        del table
         order, value = flat.ordered(np.concatenate(value))
         node = np.concatenate(node)[order]
-        del order, table
+        del order
         value, node, _ = _several(value, node)
         order = np.lexsort((node, value))
         value, node = value[order], node[order]
@@ -185,7 +187,10 @@ def _met(sent: DataFrame, blocks: int) -> DataFrame:
             begins = np.append(np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])), b - a)
             for name, x in zip(out, (int(block[a]), pack(node[a:b][begins[:-1]]), small(np.diff(begins)), bits_of(value[a:b], HASH_BITS), small(many[a:b]), leader[a:b].astype("<u8").tobytes()), strict=True):
                 out[name].append(x)
-        return pa.table({"block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in out if k != "block"}})
+        made = pa.table({"block": pa.array(out["block"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in out if k != "block"}})
+        del out, value, node, leader, many, block, by_block
+        flat.give_back()
+        return made
 
     return sent.groupBy("part").applyInArrow(run, "block int, nodes binary, counts binary, values binary, frequencies binary, leaders binary")
 
@@ -234,7 +239,10 @@ def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
                 row = (int(node[k].view(np.int64)), n[k], n[k] - len(mine), pack(np.sort(value[mine])), value[ranked[: len(mine) - need[k] + 1]].astype("<i8").tobytes(), int(heads[best].view(np.int64)) if enough else None, int(counts[best]) if enough else None)
                 for name, x in zip(out, row, strict=True):
                     out[name].append(x)
-        return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
+        made = pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
+        out = place = value = many = leader = by_node = None
+        flat.give_back()
+        return made
 
     return met.groupBy("block").cogroup(nodes.select("block", "node", "n").groupBy("block")).applyInArrow(run, schema)
 

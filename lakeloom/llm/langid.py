@@ -27,6 +27,7 @@ from lakeloom.llm.samples import remainder, training_sample
 TRAIN_ROWS = 400
 LEAST_COUNT = 4
 ORDER = 3
+WINDOW_BYTES = 1 << 17  # coded at once: what is held for each of its bytes takes far more than the byte
 TOGETHER = 8  # languages whose trees share an index, so that a byte is looked up once for all of them
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
@@ -138,11 +139,14 @@ class Model:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row's whole text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        some = np.flatnonzero(np.diff(offsets))
-        if len(some):
+        for low in range(0, len(data), WINDOW_BYTES):
+            begin, end = max(0, low - ORDER), min(len(data), low + WINDOW_BYTES)  # the bytes before the window are contexts only
+            inner = np.clip(offsets, begin, end) - begin
+            bounds = np.clip(offsets, low, end) - low
+            some = np.flatnonzero(np.diff(bounds))
             for k, index in enumerate(self.indexes):
-                bits = index.lengths(data, offsets)
-                out[some, k * TOGETHER : k * TOGETHER + bits.shape[1]] = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.float64)
+                bits = index.lengths(data[begin:end], inner)[low - begin :]
+                out[some, k * TOGETHER : k * TOGETHER + bits.shape[1]] += np.add.reduceat(bits, bounds[some], axis=0, dtype=np.float64)
         return out
 
 
@@ -167,7 +171,10 @@ def _learned_tree(table: pa.Table) -> pa.Table:
     """A row of the frozen arrays of one language's sample."""
     tree = learn(table.column("text").combine_chunks())
     values = [x.tobytes() for part in (tree.pairs, tree.bits, tree.contexts, tree.escapes) for x in part]
-    return pa.table([table.column("lang").slice(0, 1), *(pa.array([v], pa.binary()) for v in values)], names=["lang", *_PARTS])
+    made = pa.table([table.column("lang").slice(0, 1), *(pa.array([v], pa.binary()) for v in values)], names=["lang", *_PARTS])
+    del tree, values
+    flat.give_back()
+    return made
 
 
 def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", held_out: int = 5) -> Model:
@@ -184,7 +191,7 @@ def batch_predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndar
     """Language and score of each text."""
     data, offsets = flat.flat(texts)
     names, scores = [], [np.zeros(0)]
-    for low, high in flat.chunks(offsets):
+    for low, high in flat.chunks(offsets, WINDOW_BYTES):
         some = flat.part(data, offsets, low, high)
         letters = has_letter(*some)
         if model.languages:
@@ -224,7 +231,8 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = batch_predictions(model.value, batch.column(at))
-            yield batch.filter(pa.array(np.array([n != "und" for n in names], bool) & (scores >= least)))
+            for some in flat.slices(batch, at):
+                names, scores = batch_predictions(model.value, some.column(at))
+                yield some.filter(pa.array(np.array([n != "und" for n in names], bool) & (scores >= least)))
 
     return docs.mapInArrow(flat.tidy(run), docs.schema)

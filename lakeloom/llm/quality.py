@@ -31,6 +31,7 @@ BATCH = 64
 RATE = 0.01
 DECAY = 1e-4
 THRESHOLD = 0.3
+SCORED_BYTES = 1 << 18  # described at once
 
 
 def _kinds() -> np.ndarray:
@@ -200,7 +201,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def batch_scores(model: Model | None, texts: pa.Array) -> np.ndarray:
     data, offsets = flat.flat(texts)
     scores = [np.zeros(0)]
-    for low, high in flat.chunks(offsets):
+    for low, high in flat.chunks(offsets, SCORED_BYTES):
         scores.append(model.scores(*passages(*flat.part(data, offsets, low, high))) if model else np.full(high - low, 0.5))
     return np.concatenate(scores)
 
@@ -232,6 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(batch_scores(model.value, batch.column(at)) >= THRESHOLD))
+            for some in flat.slices(batch, at):
+                yield some.filter(pa.array(batch_scores(model.value, some.column(at)) >= THRESHOLD))
 
     return docs.mapInArrow(flat.tidy(run), docs.schema)

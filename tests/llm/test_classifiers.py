@@ -4,6 +4,8 @@ import functools
 import math
 import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -184,3 +186,53 @@ def test_attention_finds_the_one_bad_passage():
     model = quality.fit(np.concatenate(x), np.array(firsts), np.array(labels, np.float32))
     score = model.scores(np.concatenate(x), np.array(firsts))
     assert ((score > 0.5) == (np.array(labels) > 0)).mean() > 0.97
+
+
+MEMORY = """
+import re
+from types import SimpleNamespace as Some
+import numpy as np
+import pyarrow as pa
+from lakeloom.llm import langid
+
+texts = ["".join(map(chr, np.random.default_rng(k).integers(97, 123, 9000))) for k in range(2000)]
+model = langid.fit({lang: texts[k * 20 : k * 20 + 20] for k, lang in enumerate("abcdefgh")})
+langid.learned = lambda *a: model
+run = langid.keep_known(Some(columns=["text"], schema=None, sparkSession=Some(sparkContext=Some(broadcast=lambda x: Some(value=x))), mapInArrow=lambda run, _: run), least=0.0)
+batch = pa.RecordBatch.from_pydict({"text": texts})
+[*run(iter([batch.slice(0, 1)]))]
+held = lambda what: int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+open("/proc/self/clear_refs", "w").write("5")
+before, rows, largest = held("VmRSS"), 0, 0
+for out in run(iter([batch])):
+    rows, largest = rows + out.num_rows, max(largest, out.nbytes >> 20)
+print("FOUND", rows, largest, held("VmHWM") - before)
+"""
+
+
+def test_a_worker_that_filters_stays_small():
+    """Megabytes that a filter of 18 MB of texts takes above the batch it was given, and those of the largest batch that it gives."""
+    found = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.getcwd()})
+    rows, largest, above = map(int, found.stdout.split("FOUND")[1].split())
+    assert rows == 2000
+    assert largest <= 1
+    assert above < 60
+
+
+def test_windows(monkeypatch):
+    """Code lengths don't depend on where the windows end."""
+    model = langid.fit({"a": ["one two three four"] * 5, "b": ["eins zwei drei vier"] * 5})
+    texts = pa.array(["one two", "", None, "x", "drei vier fünf " * 9, "ab", "four"])
+    whole = model.lengths(*flat.flat(texts))
+    for size in (3, 4, 7, 64):
+        monkeypatch.setattr(langid, "WINDOW_BYTES", size)
+        assert np.allclose(model.lengths(*flat.flat(texts)), whole, rtol=1e-12, atol=0)
+
+
+def test_what_a_worker_holds_for_another_operator_goes():
+    dropped = []
+    drop = lambda: dropped.append(1)
+    holding, other = flat.tidy(iter, drop), flat.tidy(iter)
+    assert [*holding([1])] == [1] and [*holding([2])] == [2] and not dropped
+    assert [*other([3])] == [3] and dropped == [1]
+    assert [*other([4])] == [4] and dropped == [1]
