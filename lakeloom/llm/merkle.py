@@ -45,20 +45,27 @@ def root(sections_: Column) -> Column:
 
 
 def in_order(tree: Column) -> Column:
-    """array<string>: all leaves, sorted."""
-    return F.sort_array(F.flatten(tree))
+    """array<string>: all leaves, sorted, each as the 16 bytes that its hex digits stand for. These strings are only compared, never shown."""
+    return F.sort_array(F.transform(F.flatten(tree), lambda leaf: F.unhex(leaf).cast("string")))
 
 
-def numbered(leaves_: Column) -> Column:
-    """Sorted leaves, a repeat marked with how many stood before it, so that a set keeps its repeats."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+def starts(leaves_: Column) -> Column:
+    """array<int>: where runs of equal leaves begin in sorted leaves."""
+    return F.filter(F.sequence(F.lit(0), F.size(leaves_) - 1), lambda k: (k == 0) | (F.get(leaves_, k) != F.get(leaves_, k - 1)))
 
-    def step(state: Column, leaf: Column) -> Column:
-        n = F.when(state["last"] == leaf, state["n"] + 1).otherwise(F.lit(0))
-        return F.struct(leaf.alias("last"), n.alias("n"), F.concat(state["out"], F.array(F.concat(leaf, F.when(n > 0, n.cast("string")).otherwise(F.lit(""))))).alias("out"))
 
-    repeats = F.size(F.array_distinct(leaves_)) < F.size(leaves_)
-    return F.when(repeats, F.aggregate(leaves_, start, step, lambda s: s["out"])).otherwise(leaves_)
+def numbered(leaves_: Column, starts_: Column) -> Column:
+    """Sorted leaves, a repeat marked with how many stood before it, so that a set keeps its repeats.
+
+    Both must be columns, not expressions, which would be computed again for each leaf; then work and memory are linear in the leaves.
+    """
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts_, k + 1), F.size(leaves_)) - 1
+        leaf = F.get(leaves_, start)
+        return F.transform(F.sequence(start, end), lambda at: F.when(at > start, F.concat(leaf, (at - start).cast("string"))).otherwise(leaf))
+
+    return F.when(F.size(starts_) < F.size(leaves_), F.flatten(F.transform(starts_, run))).otherwise(leaves_)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -159,4 +166,5 @@ def _with_leaves(rows: DataFrame, text: str, tree: str, numbered_: str, sections
     """The rows with the numbered leaves and the section digests of a text; its tree is made once for both."""
     held = rows.withColumn(tree, leaves(F.col(text)))
     held = held.withColumns({numbered_: in_order(F.col(tree)), sections_: sections(F.col(tree))}).drop(tree)
-    return held.withColumn(numbered_, numbered(F.col(numbered_)))
+    runs = f"{numbered_}_starts"
+    return held.withColumn(runs, starts(F.col(numbered_))).withColumn(numbered_, numbered(F.col(numbered_), F.col(runs))).drop(runs)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -44,6 +46,32 @@ def test_fingerprints(spark, monkeypatch, rows):
         assert r.changed_sections == [n for n in range(max(len(a), len(b))) if a[n : n + 1] != b[n : n + 1]]
 
 
+def test_repeated_leaves_take_linear_work(spark):
+    """Numbering them once copied what it had for each leaf: 130 s and gigabytes of garbage for these two texts."""
+    texts = ["\n" * 20_000, "a. b.\n" * 20_000 + "c"]
+    began = time.monotonic()
+    found = {r.doc_id: r for r in merkle.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    for k, text in enumerate(texts):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + texts[1 - k][:half]
+        (root, own), (edited_root, other), (_, following) = tree(text), tree(edited), tree(texts[1 - k])
+        near = [2 * (Counter(own) & Counter(x)).total() / (len(own) + len(x)) for x in (other, following)]
+        r = found[k]
+        assert (r.fingerprint, r.edited_fingerprint) == (root, edited_root) and [r.near_edited, r.near_next] == pytest.approx(near)
+
+
+def test_leaves_cross_the_shuffle_as_16_bytes(spark):
+    """As hex digits, leaves were half of what tasks held; a repeat has its number behind it."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    sizes = "transform(own, x -> octet_length(x))"
+    found = {r.doc_id: r for r in merkle._with_leaves(docs, "text", "tree", "own", "sections").selectExpr("doc_id", f"{sizes} AS sizes", "size(array_distinct(own)) AS n").collect()}
+    for k, text in enumerate(TEXTS):
+        leaves = tree(text)[1]
+        repeats = [16 + len(str(n)) if n else 16 for c in Counter(leaves).values() for n in range(c)]
+        assert sorted(found[k].sizes) == sorted(repeats) and found[k].n == len(leaves)
+
+
 HUGE = [2**63 - 1, 2**63 - 2, 5, 4, 3, 0, -7, -(2**63) + 1, -(2**63)]
 
 
