@@ -47,7 +47,7 @@ def test_fingerprints(spark, monkeypatch, rows):
 
 
 def test_repeated_leaves_take_linear_work(spark):
-    """Numbering them once copied what it had for each leaf: 130 s and gigabytes of garbage for these two texts."""
+    """Numbering them once copied all that it had for each leaf, which took these two texts over two minutes."""
     texts = ["\n" * 20_000, "a. b.\n" * 20_000 + "c"]
     began = time.monotonic()
     found = {r.doc_id: r for r in merkle.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
